@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, simhash
+from tidelog.llm import bpe, decontaminate, langid, merkle, pii, simhash
 from tidelog.llm.shared import read_table
 
+#: The key of the registered query's pseudonyms. A real corpus takes its key from a secret store.
+PSEUDONYM_KEY = "tidelog demonstration key"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -23,11 +25,50 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a network that saw none of the held-out ones."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_simhash": op5_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data pseudonymized, and how much of it there was."""
+    found = pii.pseudonymize(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii").alias("n_found"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
+
+
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited form, with likenesses."""
+    found = merkle.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is taken from benchmark items, and from how many."""
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_language": op3_language,
+    "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
+    "op9_merkle": op9_merkle,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE_SQL = {"op9_merkle": merkle.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
