@@ -36,7 +36,7 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(low, WORD_BREAK, -1), "")
 
 
-def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast ``df`` if it has at most ``bound`` rows; ``df`` as it is if it has more."""
     return F.broadcast(df) if df.count() <= bound else df
 
@@ -60,7 +60,7 @@ def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "tex
     mark = spark.createDataFrame([("", 0)], "term string, term_id long")
     terms = written(used.withColumn("term_id", F.monotonically_increasing_id() + 1).unionByName(mark), "terms")
     places = sequences.select("seq", F.size("words").alias("n"), F.posexplode("words").alias("item_pos", "term"))
-    places = written(places.join(_small(terms), "term").select("seq", "n", "item_pos", "term_id"), "places")
+    places = written(places.join(small(terms), "term").select("seq", "n", "item_pos", "term_id"), "places")
     return Items(sequences.select("seq", F.size("words").alias("n"), "item_ids"), places, terms)
 
 
@@ -76,7 +76,7 @@ def positional_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id",
         F.array_append(words(text), "").alias("words"),
     )
     tokens = rows.select("row", "doc_id", F.posexplode("words").alias("pos", "term"))
-    found = tokens.join(_small(terms), "term")
+    found = tokens.join(small(terms), "term")
     return written(
         found.select("row", F.when(F.col("term_id") == 0, F.col("doc_id")).alias("doc_id"), "term_id", "pos"), "postings"
     )
@@ -101,7 +101,7 @@ def rare_postings(index: DataFrame, rare: DataFrame) -> DataFrame:
     """Postings of rare terms with the offset (shift) of the item that they stand for."""
     return (
         index.where("term_id > 0")
-        .join(_small(rare), "term_id")
+        .join(small(rare), "term_id")
         .select("row", "seq", "n", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     )
 
@@ -114,11 +114,11 @@ def phrase_matches(index: DataFrame, items: Items, window: int = WINDOW) -> Data
     rare = written(rare_places(index, items, window), "rare")
     meets = rare_postings(index, rare).groupBy("row", "seq", "n", "shift").agg(F.min("item_pos").alias("p"), F.max("item_pos").alias("q"))
     candidates = written(meets.where("p < q or n = 1").select("row", "seq", "n", "shift"), "candidates")
-    wanted = candidates.join(_small(items.places.select("seq", "item_pos", "term_id")), "seq").select(
+    wanted = candidates.join(small(items.places.select("seq", "item_pos", "term_id")), "seq").select(
         "row", "seq", "n", "shift", "item_pos", "term_id", (F.col("shift") + F.col("item_pos")).alias("pos")
     )
     near = candidates.select("row").distinct()
-    there = index.where("term_id > 0").join(_small(near), "row", "left_semi").select("row", "term_id", "pos")
+    there = index.where("term_id > 0").join(small(near), "row", "left_semi").select("row", "term_id", "pos")
     found = wanted.join(there, ["row", "pos", "term_id"])
     along = Window.partitionBy("row", "seq", "shift").orderBy("item_pos")
     runs = (

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -220,13 +221,18 @@ def fit(
     return train(samples)
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Returns (doc_id, lang_pred, score) for every row of ``docs``, from its text alone.
 
-    Null texts and texts without letters are ``und`` with score 0, and so is every text if nothing was
-    learned. Ties go to the language that sorts first. Repeated rows stay repeated.
+    With ``keep``, these columns come through unchanged in place of the id. Null texts and texts without
+    letters are ``und`` with score 0, and so is every text if nothing was learned. Ties go to the language
+    that sorts first. Repeated rows stay repeated.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")) if keep is None
+            else docs.select(*keep, F.col(text).cast("string").alias("_text")))
+    names = [c for c in kept.columns if c != "_text"]
+    schema = T.StructType([*(f for f in kept.schema if f.name != "_text"), *T.StructType.fromDDL("lang_pred string, score double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -234,11 +240,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                got = classify(own, pairs, [x.as_py() for x in part.column(1)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
-                    ["doc_id", "lang_pred", "score"],
-                )
-
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, lang_pred string, score double")
+                got = classify(own, pairs, [x.as_py() for x in part.column("_text")])
+                columns = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], [*names, "lang_pred", "score"])
+
+    return kept.mapInArrow(run, schema)

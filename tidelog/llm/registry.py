@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, merkle, pii, simhash
+from tidelog.llm import bpe, chat, decontaminate, langid, lm, merkle, pii, quality, simhash
 from tidelog.llm.shared import read_table
 
 #: The key of the registered query's pseudonyms. A real corpus takes its key from a secret store.
@@ -25,6 +25,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether it is kept."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every speaker's perspective; the mask as start-end pairs."""
+    found = chat.rotations(read_table(spark, sf_dir, "conversations"))
+    pairs = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return found.withColumn("mask", pairs)
+
+
+def op8_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    return lm.pseudo_likelihoods(read_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by a network that saw none of the held-out ones."""
     docs = read_table(spark, sf_dir, "documents")
@@ -65,10 +82,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
+    "op8_likelihood": op8_likelihood,
     "op9_merkle": op9_merkle,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL = {"op9_merkle": merkle.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL = {"op4_chat": chat.ORACLE, "op9_merkle": merkle.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
