@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POLYNOMIAL = 0x82F63B78
 
@@ -44,7 +45,7 @@ def _many(values: list[bytes]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_of(values: pd.Series) -> pd.Series:
     """The unsigned CRC-32C of each value; null for null."""
     known = values.notna()
