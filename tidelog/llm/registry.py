@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, decontaminate, langid, lm, merkle, pii, quality, simhash
+from tidelog.llm import bpe, chat, decontaminate, langid, lm, merkle, passages, pii, quality, simhash
 from tidelog.llm.shared import read_table
 
 #: The key of the registered query's pseudonyms. A real corpus takes its key from a secret store.
@@ -61,6 +61,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("pii").alias("n_found"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that other documents share; the spans as first-after pairs of words."""
+    found = passages.shared_passages(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["after"])), ","))
+
+
 def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited form, with likenesses."""
     found = merkle.edited_fingerprints(read_table(spark, sf_dir, "documents"))
@@ -87,6 +93,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
+    "op7_passages": op7_passages,
     "op8_likelihood": op8_likelihood,
     "op9_merkle": op9_merkle,
     "op10_decontaminate": op10_decontaminate,
