@@ -139,6 +139,8 @@ def has_letter(text: str | None) -> bool:
 
 def classify(model: Model, pairs: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> list[tuple[str, float]]:
     """The language and its probability for each text; ``und`` and 0 for a text without letters."""
+    if not model.langs:
+        return [(NO_LANGUAGE, 0.0)] * len(texts)
     held: list[np.ndarray] = []
     owner: list[int] = []
     share: list[float] = []
@@ -164,10 +166,9 @@ def classify(model: Model, pairs: tuple[np.ndarray, np.ndarray], texts: list[str
                 if len(owner) >= SLAB:
                     flush()
     flush()
-    best = total.argmax(axis=1) if model.langs else np.zeros(len(texts), dtype=int)
     return [
-        (model.langs[b], min(1.0, float(total[i, b]))) if letters[i] and model.langs else (NO_LANGUAGE, 0.0)
-        for i, b in enumerate(best.tolist())
+        (model.langs[b], min(1.0, float(total[i, b]))) if letters[i] else (NO_LANGUAGE, 0.0)
+        for i, b in enumerate(total.argmax(axis=1).tolist())
     ]
 
 
