@@ -40,11 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(*COLUMNS, F.xxhash64(*KEY).alias("key"))
     groups = written(simhash.near_duplicates(rows, doc_id="key").select(F.col("doc_id").alias("key"), "component_id"), "groups")
     once = groups.groupBy("key").agg(F.first("component_id").alias("component_id"), F.count("*").alias("copies"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies").alias("rank")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("rank")
     first = once.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(F.min(rank).alias("rank"))
-    first = written(first.select("rank.key", "rank.copies"), "kept")
-    kept = rows.join(first.select("key"), "key", "left_semi")
-    if first.where("copies > 1").limit(1).count():  # rows that are equal in id and text
+    dropped = written(once.join(first, "component_id").where("key <> rank.key").select("key"), "dropped")
+    kept = rows.join(decontaminate.small(dropped), "key", "left_anti")
+    if once.where("copies > 1").limit(1).count():  # rows that are equal in id and text
         kept = kept.dropDuplicates(["key"])
     return kept.select(*COLUMNS)
 
