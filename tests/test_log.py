@@ -129,3 +129,48 @@ def test_checkpoints(log):
         store.commit("p", 1, 1, 6, "b", rebuild=True)
     assert store.commit("p", 1, 2, 1, "rebuilt", rebuild=True).revision == 2
     assert (store.load("p").position, store.load("p").state) == (1, "rebuilt")
+
+
+def test_execute_and_catch_up(log, spark):
+    from tidelog.functions.errors import Conflict
+    from tidelog.operators.decide import decide
+    from tidelog.plans.project import catch_up, execute
+
+    def decided(amounts, head):
+        commands = spark.createDataFrame([(k, a) for k, a in amounts.items()], "stream_id binary, amount long")
+        states = spark.createDataFrame([(k, head) for k in amounts], "stream_id binary, head long")
+        event = F.struct(F.lit("Paid").alias("event_type"), F.col("amount").cast("string").alias("payload"))
+        return decide(commands, states, F.when(F.col("amount") > 0, F.array(event)), F.when(F.col("amount") > 100, "TooMuch"))
+
+    assert execute(log, decided({b"a": 10, b"b": 0, b"c": 500}, None), F.col("head"))[1] == 1
+    assert execute(log, decided({b"b": 0}, None), F.col("head")) is None
+    with pytest.raises(Conflict):
+        execute(log, decided({b"a": 10}, None), F.col("head"))
+    execute(log, decided({b"a": 7}, 1), F.col("head"))
+    store = CheckpointStore(log)
+
+    def total(state, events):
+        return str(int(state or 0) + events.agg(F.sum(F.col("payload").cast("string").cast("long"))).first()[0])
+
+    assert (first := catch_up(log, store, "total", 1, total)) and (first.state, first.position, first.revision) == ("17", 2, 1)
+    assert catch_up(log, store, "total", 1, total) == first
+    execute(log, decided({b"z": 3}, None), F.col("head"))
+    assert catch_up(log, store, "total", 1, total).state == "20"
+    with pytest.raises(SchemaMismatch):
+        catch_up(log, store, "total", 2, total)
+    assert (again := catch_up(log, store, "total", 2, total, rebuild=True)) and (again.state, again.revision) == ("20", 3)
+
+
+def test_an_unknown_outcome_is_settled_by_the_mark(log, monkeypatch):
+    import os
+
+    real = os.link
+
+    def lost(a, b):
+        real(a, b)
+        raise OSError("the answer got lost")
+
+    monkeypatch.setattr(os, "link", lost)
+    assert log.append(run(log, b"a", None, [1]))[1] == 1
+    monkeypatch.setattr(os, "link", real)
+    assert log.view().frame.count() == 1
