@@ -46,6 +46,16 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidelog-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables. Results that have not been written or collected need them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it again.
 
@@ -54,7 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship_package(spark)
-    path = f"{shared_folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
