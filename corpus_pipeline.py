@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, pii, simhash
+from tidelog.llm import bpe, decontaminate, langid, nearcopies, pii, simhash
+from tidelog.llm.components import connected_components
 from tidelog.llm.shared import read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,10 +36,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the least id, one without an id last.
 
-    Groups are those of the SimHash contract: fingerprints of three-word shingles that link at two bits.
+    Groups are those of the SimHash contract, fingerprints of three-word shingles that link at two bits, joined
+    where texts have a Jaccard similarity of 0.8 or more over shingles of five words.
     """
     rows = docs.select(*COLUMNS, F.xxhash64(*KEY).alias("key"))
-    groups = written(simhash.near_duplicates(rows, doc_id="key").select(F.col("doc_id").alias("key"), "component_id"), "groups")
+    near = written(simhash.near_duplicates(rows, doc_id="key").select(F.col("doc_id").alias("key"), "component_id"), "near")
+    links = near.select(F.col("key").alias("a"), F.col("component_id").alias("b")).where("a <> b").union(nearcopies.similar_links(rows))
+    roots = connected_components(links).withColumnRenamed("node", "key")
+    groups = written(near.join(roots, "key", "left").select("key", F.coalesce("component", "key").alias("component_id")), "groups")
     once = groups.groupBy("key").agg(F.first("component_id").alias("component_id"), F.count("*").alias("copies"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("rank")
     first = once.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(F.min(rank).alias("rank"))
