@@ -52,7 +52,11 @@ def _scratch(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables. Results that have not been written or collected need them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    _delete(spark, _scratch(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -66,7 +70,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     ship_package(spark)
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that no result needs any more, to free their disk; others stay."""
+    for table in tables:
+        if path := getattr(table, "_scratch_path", None):
+            _delete(table.sparkSession, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
