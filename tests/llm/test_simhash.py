@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from tidelog.llm import simhash
@@ -62,14 +63,16 @@ def test_components_against_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in rows} == want
 
 
-def test_random_fingerprints_within_two_bits(spark):
+@pytest.mark.parametrize("bucket", [64, 3, 0])
+def test_random_fingerprints_within_two_bits(spark, bucket):
     rng = random.Random(9)
     centres = [rng.getrandbits(64) for _ in range(12)]
     fps = {c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centres for _ in range(25)}
-    fps = [(i, f) for i, f in enumerate(sorted(fps))]
-    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in fps], "fp long, rep long")
-    roots = {r.node: r.component for r in connected_components(simhash.near_links(table)).collect()}
-    assert {i: roots.get(i, i) for i, _ in fps} == brute_components(fps)
+    fps |= {centres[0] ^ (1 << i) ^ (1 << j) for i in range(32, 64) for j in range(32, i)} | {0, 1 << 63, (1 << 64) - 1, (1 << 64) - 2}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    roots = {r.node: r.component for r in connected_components(simhash.near_links(table, bucket)).collect()}
+    assert {f: roots.get(f, f) for f in signed} == brute_components([(f, f & (1 << 64) - 1) for f in signed])
 
 
 def test_null_ids_and_empty_tables(spark):
@@ -79,6 +82,23 @@ def test_null_ids_and_empty_tables(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_links_lead_through_documents_without_an_id(spark, monkeypatch):
+    fps = spark.createDataFrame([(1, 0b0), (None, 0b11), (2, 0b1111), (None, 0b110000001111), (9, 7 << 40)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(None).collect()}
+    assert got == {(1, 0): 1, (None, 0b11): 1, (2, 0b1111): 1, (None, 0b110000001111): 1, (9, 7 << 40): 9}
+
+
+def test_registered_query_against_all_pairs(spark, tmp_path):
+    from tidelog.llm.registry import QUERIES
+
+    texts = list(enumerate(corpus()[40:120]))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op5_simhash"](spark, str(tmp_path)).collect()
+    want = brute_components([(i, plain_fingerprint(t)) for i, t in texts])
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{plain_fingerprint(t):016x}", want[i]) for i, t in texts}
+
+
 def test_long_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(None, 3), (4, 4), (900, 901)], "a long, b long")
     got = {r.node: r.component for r in connected_components(chain).collect()}

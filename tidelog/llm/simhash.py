@@ -3,14 +3,18 @@
 A fingerprint's bit is set when more than half of the shingles' XXH64 values have it set. Two
 fingerprints link when at most two bits differ.
 
-Search. The 64 bits are cut into segments. If two fingerprints differ in at most two bits, there is a
-point between them that each reaches by changing at most one bit, so each of them finds that point in
-the radius-one Hamming ball of one of its own segments (the other segments unchanged). Every distinct
-fingerprint therefore enumerates the balls of all its segments, 65 points in all, and the index table is
-keyed by the point. All entries of a point are within two bits of each other, so a link from each to the
-least entry carries every connection; a bucket cannot hold more than 65 distinct fingerprints, whatever
-the size of the group of copies, and the work is linear in the number of distinct fingerprints. The
-complete distance is verified before a link is made.
+Search. The 64 bits are two segments of 32. Two fingerprints that differ in at most two bits differ in at most
+one bit of at least one segment. So the table of each segment holds every distinct fingerprint under its segment's
+value, and every fingerprint enumerates the ball of radius one around its own value: the value itself, and the
+values with one zero bit set (of two values one bit apart, one has that bit zero, so one direction is enough). What
+the tables give is verified on the complete fingerprints.
+
+A value of a segment may belong to any number of fingerprints, as in a large group of near copies. Values of more
+than BUCKET fingerprints are not looked up. The fingerprints that have them or would look them up enumerate the
+balls of both segments instead, 65 complete fingerprints: if two are at most two bits apart, there is a point
+between them that each reaches by changing at most one bit, so they meet in it. All entries of a point are within
+two bits of each other, so a link from each to the least one carries every connection; a point has at most 65
+entries, and the work is linear in the number of fingerprints, whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidelog.llm.components import connected_components
 from tidelog.llm.shared import written
 
 SEED = 42
-SEGMENT_BITS = 16
+SEGMENTS, SEGMENT_BITS = 2, 32
+#: Fingerprints that a value of a segment may have at most to be looked up.
+BUCKET = 64
 PIECE = 4 << 20
 
 
@@ -84,26 +89,57 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return kept.mapInArrow(run, "doc_id long, fp long")
 
 
+def _bit(number: int) -> F.Column:
+    return F.lit(1 << number if number < 63 else -(1 << 63)).cast("long")
+
+
+def _segment(number: int, fp: str = "fp") -> F.Column:
+    """One segment of a fingerprint, as a number."""
+    return F.shiftrightunsigned(fp, number * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))
+
+
+def segment_table(distinct: DataFrame) -> DataFrame:
+    """(segment, value, fp): every fingerprint under the value of each of its segments."""
+    entries = F.array(*(F.struct(F.lit(s).alias("segment"), _segment(s).alias("value")) for s in range(SEGMENTS)))
+    return distinct.select(F.explode(entries).alias("e"), "fp").select("e.segment", "e.value", "fp")
+
+
+def segment_balls(table: DataFrame) -> DataFrame:
+    """(segment, value, fp): the points of the radius-one ball around each segment's value that no smaller value has in its own."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k))
+    zeros = F.filter(steps, lambda b: F.col("value").bitwiseAND(b) == 0)
+    points = F.concat(F.array("value"), F.transform(zeros, lambda b: F.col("value").bitwiseOR(b)))
+    return table.select("segment", F.explode(points).alias("value"), "fp")
+
+
 def ball_points(fp: str = "fp") -> F.Column:
-    """The points of the radius-one balls in all segments of a fingerprint, itself included once."""
-    points = [F.col(fp)]
-    for low in range(0, 64, SEGMENT_BITS):
-        for bit in range(low, low + SEGMENT_BITS):
-            points.append(F.col(fp).bitwiseXOR(F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")))
-    return F.array(*points)
-
-
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives, from a table (fp, rep) of distinct fingerprints."""
-    points = distinct.select("fp", "rep", F.explode(ball_points()).alias("point"))
-    bucket = Window.partitionBy("point")
-    first = F.min(F.struct("rep", "fp")).over(bucket)
-    return (
-        points.withColumn("first", first)
-        .where("rep <> first.rep")
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= 2)
-        .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
-    )
+    """The complete fingerprints of the radius-one balls in all segments, the fingerprint itself included once."""
+    return F.array(F.col(fp), *(F.col(fp).bitwiseXOR(_bit(k)) for k in range(SEGMENTS * SEGMENT_BITS)))
+
+
+def links_by_points(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints to the least one that has a point of their complete balls in common."""
+    points = distinct.select("fp", F.explode(ball_points()).alias("point"))
+    least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b")
+    return points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
+
+
+def near_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (fp) which differ in at most two bits."""
+    table = segment_table(distinct)
+    counts = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    crowded = written(counts.where(F.col("n") > bucket).select("segment", "value"), "crowded")
+    balls = segment_balls(table)
+    if crowded.limit(1).count():
+        some = balls.join(crowded, ["segment", "value"], "left_semi").select("fp")
+        some = some.union(table.join(crowded, ["segment", "value"], "left_semi").select("fp")).distinct()
+        among = links_by_points(written(some, "crowded-fingerprints"))
+        balls, table = (x.join(crowded, ["segment", "value"], "left_anti") for x in (balls, table))
+    else:
+        among = None
+    found = balls.join(table.select("segment", "value", F.col("fp").alias("b")), ["segment", "value"]).where("fp <> b")
+    found = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2).select(F.col("fp").alias("a"), "b")
+    return found if among is None else found.union(among)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -111,16 +147,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``component_id`` is the least document id reachable over links of at most two bits, the document's own
     included. Documents with equal fingerprints are one entry of the search, so a group of copies of any
-    size costs no more than one document. Null ids form no component of their own: such a row gets the
-    least id of its fingerprint's component, or null if there is none. Empty tables give empty results.
+    size costs no more than one document. Links are between fingerprints, so they also lead through documents
+    without an id; a document without an id has a null component unless one with an id can be reached.
+    Very long texts are hashed piece by piece. Other columns are dropped. Empty tables give empty results.
     """
     fps = written(fingerprints(docs, doc_id, text, shingle), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(near_links(distinct.where("rep is not null")))
-    classes = distinct.join(roots, distinct["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    roots = connected_components(near_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    linked = roots.join(distinct, "fp")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    classes = linked.join(least, "component").select("fp", "least")
+    merged = distinct.join(classes, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    return fps.join(merged, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:
