@@ -174,3 +174,14 @@ def test_an_unknown_outcome_is_settled_by_the_mark(log, monkeypatch):
     assert log.append(run(log, b"a", None, [1]))[1] == 1
     monkeypatch.setattr(os, "link", real)
     assert log.view().frame.count() == 1
+
+
+def test_positions_of_a_wide_append_are_gapless(log):
+    rows = log.spark.range(400_000).select(
+        F.concat(F.lit("s"), (F.col("id") % 5000).cast("string")).cast("binary").alias("stream_id"), F.lit(None).cast("long").alias("expected"),
+        (F.expr("id div 5000") + 1).alias("version"), F.lit("E").alias("event_type"), F.lit(1).cast("long").alias("schema_version"),
+        F.repeat(F.col("id").cast("string"), 20).cast("binary").alias("payload"), F.lit(None).cast("binary").alias("metadata"),
+    )
+    log.append(rows)
+    got = log.view().frame.agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position")).first()
+    assert tuple(got) == (400_000, 400_000, 1, 400_000)

@@ -53,3 +53,21 @@ def test_resume_equals_whole_replay(spark):
     snaps = spark.createDataFrame([(s, 12, 2 if s % 2 else 1, sum(v * s for v in range(1, 13))) for s in range(4)] + [(9, 5, 2, 7)], "stream_id long, version long, schema_version int, state long")
     got = {r.stream_id: (r.head, r.total, r.replayed) for r in replay.resumed_sum(log, snaps, 2, F.col("d")).collect()}
     assert got == {**{s: (29, sum(v * s for v in range(1, 30)), 17 if s in (1, 3) else 29) for s in range(6)}, 9: (5, 7, 0)}
+
+
+def test_numbered_over_blocks(spark):
+    rows = [(0 if i % 2 else i % 7, i * 3) for i in range(900)]  # one key holds half of the rows
+    frame = spark.createDataFrame(rows, "stream_id long, at long").repartition(5)
+    got = {(r.stream_id, r["at"]): r.version for r in fold.numbered(frame, "stream_id", ["at"], F.floor(F.col("at") / 64)).collect()}
+    for key in {k for k, _ in rows}:
+        assert [got[key, at] for at in sorted(a for k, a in rows if k == key)] == list(range(1, sum(k == key for k, _ in rows) + 1))
+
+
+def test_runs_are_validated_in_order(spark):
+    most = (1 << 63) - 1
+    schema = "run long, expected long, version long, ordinal long"
+    first = lambda rows: tuple(append.validate_runs(spark.createDataFrame(rows, schema)).first())
+    good = [(0, None, 1, 1), (0, None, 2, 2), (1, 4, 5, 1)]
+    assert first(good) == (True, None, None, None, None) and first([]) == (True, None, None, None, None)
+    assert first([*good, (3, None, 2, 1), (2, 4, 5, 1), (2, 4, 7, 2), (2, 4, 9, 3)]) == (False, 2, "NonSequential", 6, 7)
+    assert first([(5, most, most, 1)]) == (False, 5, "VersionOverflow", None, most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions.rules import append_outcome
+from tidelog.sources.scratch import checkpointed
 
 MOST = (1 << 63) - 1
 
@@ -67,17 +68,36 @@ def whole_or_nothing(outcomes: DataFrame, index: str = "run") -> DataFrame:
     )
 
 
+def validate_runs(batch: DataFrame) -> DataFrame:
+    """(valid, index, outcome, due, actual) of an atomic append's events (run, expected, version, ordinal).
+
+    Every run starts behind its declared version ``expected``, null for a new stream, and goes on one by one. The
+    first offence of the first offending run is reported: NonSequential, or VersionOverflow where no version is left.
+    """
+    place = F.row_number().over(Window.partitionBy("run").orderBy("ordinal")).cast("long")
+    due = F.try_add(F.coalesce("expected", F.lit(0)).cast("long"), F.col("_place"))
+    rows = batch.withColumn("_place", place).withColumn("due", due)
+    outcome = F.when(F.col("due").isNull(), "VersionOverflow").when(F.col("version") != F.col("due"), "NonSequential")
+    bad = rows.withColumn("outcome", outcome).where("outcome is not null")
+    first = bad.agg(F.min(F.struct("run", "_place", "outcome", "due", "version")).alias("s"))
+    return first.select(
+        F.col("s").isNull().alias("valid"), F.col("s.run").alias("index"), "s.outcome", "s.due", F.col("s.version").alias("actual")
+    )
+
+
 def assign_positions(batch: DataFrame, base: int, order: list[str]) -> DataFrame:
     """Adds the position of every event of a batch: ``base`` plus its place in the batch's order.
 
     The places are counted in ranges of the order: each range is sorted by a task of its own, and only the
-    sizes of the ranges are summed up, so no task sees the whole batch.
+    sizes of the ranges are summed up, so no task sees the whole batch. The dealt rows are computed once and kept
+    in the shared folder, so that the sizes are those of the very ranges that are numbered.
     """
     spark = batch.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = batch.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     marked = dealt.withColumn("_mark", F.monotonically_increasing_id())
     marked = marked.withColumn("_range", F.shiftright("_mark", 33)).withColumn("_row", F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
+    marked = checkpointed(marked)
     sizes = marked.groupBy("_range").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))

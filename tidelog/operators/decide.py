@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.fold import running_sum
+
 
 def decide(commands: DataFrame, states: DataFrame, events: Column, error: Column | None = None, key: str = "stream_id") -> DataFrame:
     """Joins commands to the current states and evaluates a decision for each.
@@ -32,6 +36,62 @@ def correlate(upstream: DataFrame, saga_id: Column) -> DataFrame:
     return upstream.withColumn("saga_id", saga_id).where("saga_id is not null")
 
 
+def react(
+    routed: DataFrame,
+    fields: list[str],
+    initial: Column,
+    reaction: Callable[[Column, Column], tuple[Column, Column]],
+    advance: Callable[[Column, Column, Column], Column],
+    limit: int = 1_000_000,
+) -> DataFrame:
+    """(saga_id, position, outcome, error, events): each saga's reactions to its upstream events, in position order.
+
+    ``reaction(state, event)`` gives an error and an array of own events; both may be null. An error refuses the
+    event, null or no events ignore it; otherwise ``advance(state, event, events)`` is the state that the next
+    event meets. A saga is folded by one task, so it may have at most ``limit`` events; a longer one gives one row
+    with a null position and the error RehydrationLimitExceeded.
+    """
+    sizes = routed.groupBy("saga_id").agg(F.count("*").alias("n"))
+    within = routed.join(sizes.where(F.col("n") <= limit).select("saga_id"), "saga_id", "left_semi")
+    gathered = within.groupBy("saga_id").agg(F.array_sort(F.collect_list(F.struct("position", *fields))).alias("_in"))
+
+    def result(state: Column, event: Column) -> Column:
+        error, events = reaction(state, event)
+        return F.struct(event["position"].alias("position"), error.alias("error"), F.when(error.isNull(), events).alias("events"))
+
+    def step(total: Column, event: Column) -> Column:
+        out = result(total["state"], event)
+        acted = out["error"].isNull() & (F.coalesce(F.size(out["events"]), F.lit(0)) > 0)
+        state = F.when(acted, advance(total["state"], event, out["events"])).otherwise(total["state"])
+        return F.struct(state.alias("state"), F.concat(total["out"], F.array(out)).alias("out"))
+
+    none = F.array().cast("array<struct<position:bigint,error:string,events:array<string>>>")
+    folded = gathered.select("saga_id", F.aggregate("_in", F.struct(initial.alias("state"), none.alias("out")), step, lambda t: t["out"]).alias("out"))
+    rows = folded.select("saga_id", F.explode("out").alias("o")).select("saga_id", "o.position", "o.error", "o.events")
+    outcome = F.when(F.col("error").isNotNull(), "Rejected").when(F.coalesce(F.size("events"), F.lit(0)) <= 0, "Ignored").otherwise("Reacted")
+    long = sizes.where(F.col("n") > limit).select(
+        "saga_id", F.lit(None).cast("long").alias("position"), F.lit("RehydrationLimitExceeded").alias("error"), F.lit(None).cast("array<string>").alias("events")
+    )
+    return rows.unionByName(long).select("saga_id", "position", outcome.alias("outcome"), "error", "events")
+
+
+def accepted_until(records: DataFrame, facts: Column, budget: int) -> DataFrame:
+    """(stream_id, records, facts, corrupt_at): acceptance records (stream_id, version, request_id) up to the first bad one.
+
+    A record is bad if its request id stands in an earlier record of the stream, or if it takes the number of facts
+    beyond ``budget``; that latches, so nothing behind it counts.
+    """
+    rows = records.withColumn("_facts", facts.cast("long"))
+    first = rows.groupBy("stream_id", "request_id").agg(F.min("version").alias("_first"))
+    summed = running_sum(rows, F.col("_facts")).join(first, ["stream_id", "request_id"])
+    bad = F.when((F.col("version") > F.col("_first")) | (F.col("running") > budget), F.col("version"))
+    latch = summed.groupBy("stream_id").agg(F.min(bad).alias("corrupt_at"))
+    kept = F.col("corrupt_at").isNull() | (F.col("version") < F.col("corrupt_at"))
+    return summed.join(latch, "stream_id").groupBy("stream_id").agg(
+        F.count_if(kept).alias("records"), F.coalesce(F.sum(F.when(kept, F.col("_facts"))), F.lit(0)).alias("facts"), F.min("corrupt_at").alias("corrupt_at")
+    )
+
+
 def intents(events: DataFrame, intent: Column) -> DataFrame:
     """Events that give rise to an intent, at their own versions; other events keep theirs but give no row."""
     return events.withColumn("intent", intent).where("intent is not null")

@@ -18,6 +18,20 @@ REPLAY_LIMIT = 1_000_000
 BLOCK = 1 << 16
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], block: Column, name: str = "version") -> DataFrame:
+    """Adds the place of every row among those of its key, from 1 on, in the order of columns of which ``block`` is a rising function.
+
+    Rows are numbered in blocks. The sizes of the blocks combine before the shuffle and are few, so a key that
+    holds a large part of all rows is not sorted by one task: its blocks are.
+    """
+    rows = rows.withColumn("_block", block)
+    sizes = rows.groupBy(key, "_block").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)))
+    return inside.join(starts, [key, "_block"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_block", "_inside", "_start")
+
+
 def running_sum(log: DataFrame, value: Column, name: str = "running", block: int = BLOCK) -> DataFrame:
     """Adds the sum of ``value`` over a stream's events up to each one.
 
@@ -81,14 +95,22 @@ def by_type(log: DataFrame, types: list[str]) -> DataFrame:
     return log.groupBy("stream_id").agg(*[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in types])
 
 
+def decoded_fold(log: DataFrame, value: Column) -> DataFrame:
+    """(stream_id, applied, total, failed_at): ``value`` of decoded events summed up to each stream's first ``error``."""
+    first = log.where("error is not null").groupBy("stream_id").agg(F.min("version").alias("failed_at"))
+    live = F.col("failed_at").isNull() | (F.col("version") < F.col("failed_at"))
+    return log.join(first, "stream_id", "left").groupBy("stream_id").agg(
+        F.count_if(live).alias("applied"), F.coalesce(F.sum(F.when(live, value)), F.lit(0)).alias("total"), F.min("failed_at").alias("failed_at")
+    )
+
+
 def replay_check(log: DataFrame, start: int = 0, budget: int = REPLAY_LIMIT) -> DataFrame:
     """(stream_id, replayed, failed_at, error): where replaying a stream stops, if it does.
 
     Each version must be the successor of the one before, the first one of ``start``; no more than ``budget``
     events may be replayed. A wrong version is reported before a used-up budget.
     """
-    order = Window.partitionBy("stream_id").orderBy("version")
-    rows = log.withColumn("_n", F.row_number().over(order).cast("long"))
+    rows = numbered(log, "stream_id", ["version"], F.floor(F.col("version") / BLOCK), "_n")
     wrong = F.col("version") != F.col("_n") + start
     stops = rows.withColumn(
         "_error", F.when(wrong, "VersionMismatch").when(F.col("_n") > budget, "RehydrationLimitExceeded")

@@ -70,6 +70,17 @@ def import_whole(plans: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
+def unfinished(report: DataFrame) -> DataFrame:
+    """The rows of an import's report that a later run must act on."""
+    return report.where(F.col("outcome") != "Complete")
+
+
+def all_complete(report: DataFrame) -> DataFrame:
+    """(sections, unfinished, all_complete) of an import's report; an empty report is complete."""
+    open_ = F.count_if(F.col("outcome") != "Complete")
+    return report.agg(F.count("*").alias("sections"), open_.alias("unfinished"), (open_ == 0).alias("all_complete"))
+
+
 def export_manifest(log: DataFrame, payload: str = "payload") -> DataFrame:
     """(sections, events, bytes): the completion record of an export."""
     return log.agg(

@@ -49,6 +49,24 @@ def list_known_streams(keys: DataFrame, log: DataFrame) -> DataFrame:
     return keys.join(log.select("stream_id"), "stream_id", "left_semi")
 
 
+def list_page(keys: DataFrame, after: object | None, rows: int, budget: int) -> DataFrame:
+    """The next keys (stream_id) in order with their sizes, which add up to at most ``budget``; the first one in any case.
+
+    A key that alone is larger than the budget is listed without its value.
+    """
+    keys = keys.withColumn("position", F.col("stream_id")).withColumn("row_bytes", F.lit(32).cast("long") + F.octet_length("stream_id"))
+    page = byte_page(keys, after, rows, budget, F.col("row_bytes"))
+    return page.select(F.when(F.col("row_bytes") <= budget, F.col("stream_id")).alias("stream_id"), "row_bytes", "ordinal", "total")
+
+
+def decoded(log: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
+    """The log with ``event``, its JSON payload by a schema, and ``error``: Decode where the payload is no such JSON."""
+    event = F.from_json(F.col(payload).cast("string"), f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = log.withColumn("event", event)
+    broken = F.col(payload).isNull() | F.col("event").isNull() | F.col("event._broken").isNotNull()
+    return rows.withColumn("error", F.when(broken, "Decode")).withColumn("event", F.when(~broken, F.col("event").dropFields("_broken")))
+
+
 def frozen_scan(log: DataFrame, heads: DataFrame) -> DataFrame:
     """Events up to the heads taken when the scan opened; later ones are not seen."""
     return log.join(heads, "stream_id").where("version <= head").drop("head")

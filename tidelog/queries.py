@@ -72,7 +72,8 @@ def all_scan_composite(spark, sf_dir):
 
 @query(f"with {LOG} select stream_id, max(version) as head from log group by 1")
 def stream_heads(spark, sf_dir):
-    return scan.stream_heads(events_log(spark, sf_dir))
+    """Versions are gapless, so the head of a stream is the number of its events."""
+    return events_by_position(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("head"))
 
 
 @query("select distinct user_id as stream_id from events")
@@ -80,9 +81,17 @@ def list_streams(spark, sf_dir):
     return scan.list_streams(events_by_position(spark, sf_dir))
 
 
-@query("select distinct user_id as stream_id from events where user_id > 20 order by 1 limit 25")
+@query("select distinct user_id as stream_id from events where user_id > 5 order by 1 limit 25")
 def list_streams_paged(spark, sf_dir):
-    return scan.list_streams(events_by_position(spark, sf_dir), 20, 25)
+    return scan.list_streams(events_by_position(spark, sf_dir), 5, 25)
+
+
+@query("""with c as (select c_name as stream_id, cast(32 + octet_length(encode(c_name)) as bigint) as row_bytes from customer where c_name > 'Customer#000000010' order by 1 limit 200),
+r as (select *, row_number() over (order by stream_id) as ordinal, sum(row_bytes) over (order by stream_id rows unbounded preceding) as total from c)
+select stream_id, row_bytes, cast(ordinal as bigint) as ordinal, cast(total as bigint) as total from r where total <= 2048 or ordinal = 1""")
+def list_streams_bounded(spark, sf_dir):
+    """A page of stream keys within a number of rows and of bytes."""
+    return scan.list_page(table(spark, sf_dir, "customer").select(F.col("c_name").alias("stream_id")), "Customer#000000010", 200, 2048)
 
 
 @query("select c_custkey as stream_id from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
@@ -146,7 +155,7 @@ def fold_balance_sticky(spark, sf_dir):
     return fold.sticky_balance(events_log(spark, sf_dir), _delta())
 
 
-@query(STICKY)
+@query(f"select *, null::varchar as error from ({STICKY})")
 def fold_balance_ordered(spark, sf_dir):
     """The same account folded event by event, as for a fold that nothing else expresses."""
     log = events_log(spark, sf_dir).withColumn("delta", _delta().cast("long"))
@@ -161,7 +170,7 @@ def fold_balance_ordered(spark, sf_dir):
         )
 
     folded = fold.ordered_fold(log, ["delta"], initial, apply)
-    return folded.select("stream_id", "head", "state.poisoned_at", F.when(F.col("state.poisoned_at").isNull(), F.col("state.balance")).alias("balance"))
+    return folded.select("stream_id", "head", "state.poisoned_at", F.when(F.col("state.poisoned_at").isNull(), F.col("state.balance")).alias("balance"), "error")
 
 
 @query(f"with {LOG} select stream_id, max(version) as head, arg_max(payload, version) as latest from log group by 1")
@@ -190,6 +199,27 @@ def fold_replay_budget(spark, sf_dir):
     return fold.replay_check(events_log(spark, sf_dir), budget=50)
 
 
+DECODED = f"""{LOG}, d as (select position, stream_id, version, case when position % 97 = 0 then null else cast(json_extract(payload, '$.k') as bigint) end as k from log)"""
+
+
+def _decoded(spark, sf_dir):
+    """The log's JSON payloads; every 97th is damaged."""
+    log = events_log(spark, sf_dir).withColumn("payload", F.when(F.col("position") % 97 == 0, F.lit('{"broken":}')).otherwise(F.col("payload")))
+    return scan.decoded(log, "k bigint")
+
+
+@query(f"with {DECODED} select position, stream_id, version, k, case when k is null then 'Decode' end as error from d")
+def decoded_scan(spark, sf_dir):
+    return _decoded(spark, sf_dir).select("position", "stream_id", "version", F.col("event.k").alias("k"), "error")
+
+
+@query(f"""with {DECODED}, f as (select stream_id, min(version) as failed_at from d where k is null group by 1)
+select stream_id, count(*) filter (failed_at is null or version < failed_at) as applied, cast(coalesce(sum(k) filter (failed_at is null or version < failed_at), 0) as bigint) as total,
+min(failed_at) as failed_at from d left join f using (stream_id) group by 1""")
+def decoded_fold_first_error(spark, sf_dir):
+    return fold.decoded_fold(_decoded(spark, sf_dir), F.col("event.k"))
+
+
 # -- snapshots, triggers, checkpoints, projections ---------------------------------------------------
 
 
@@ -311,12 +341,15 @@ def append_positions(spark, sf_dir):
     return append.assign_positions(batch, 1000, ["o_orderdate", "order_id"]).select("order_id", "position")
 
 
-@query("""with r as (select o_orderkey as run, case when o_orderkey % 3000 = 17 then 'Conflict' else 'Accepted' end as outcome from orders)
-select count(*) filter (outcome <> 'Accepted') = 0 as committed, min(run) filter (outcome <> 'Accepted') as first_offender from r""")
+@query(f"""with {LINES}, n as (select *, cast(case when stream_id % 4 = 0 then stream_id % 3 else 0 end + row_number() over (partition by stream_id order by version, cents, event_type) as bigint) as due,
+ row_number() over (partition by stream_id order by version, cents, event_type) as place from log),
+b as (select stream_id as index, 'NonSequential' as outcome, due, version as actual from n where version <> due order by stream_id, place limit 1)
+select b.index is null as valid, b.* from (select 1) left join b on true""")
 def atomic_validate_runs(spark, sf_dir):
-    run = F.col("o_orderkey")
-    outcomes = table(spark, sf_dir, "orders").select(run.alias("run"), F.when(run % 3000 == 17, "Conflict").otherwise("Accepted").alias("outcome"))
-    return append.whole_or_nothing(outcomes)
+    """Every order's lines as one run of an atomic append, some declared behind a version; the first offence."""
+    expected = F.when((F.col("stream_id") % 4 == 0) & (F.col("stream_id") % 3 > 0), F.col("stream_id") % 3)
+    runs = lines_log(spark, sf_dir).select(F.col("stream_id").alias("run"), expected.alias("expected"), "version", F.struct("version", "cents", "event_type").alias("ordinal"))
+    return append.validate_runs(runs)
 
 
 @query("""with r as (select o_orderkey as run, o_custkey as target from orders),
@@ -370,6 +403,19 @@ def import_whole_chunk_first_offender(spark, sf_dir):
     return restore.import_whole(restore.section_plan(_blocks(spark, sf_dir)), _import_heads(spark, sf_dir))
 
 
+@query(f"""with {PLAN}, {HEADS}, r as (select plan.*, head, events > 0 and coalesce(head, 0) <> first - 1 as refused from plan left join heads using (section)),
+o as (select section, case when refused or halt = 'Gap' then 'Mismatch' else halt end as outcome, case when not refused then reached end as reached, case when refused then first else got end as got from r)
+select * from o where outcome <> 'Complete'""")
+def import_unfinished(spark, sf_dir):
+    return restore.unfinished(restore.import_report(restore.section_plan(_blocks(spark, sf_dir)), _import_heads(spark, sf_dir)))
+
+
+@query(f"""with {PLAN}, {HEADS}, r as (select events > 0 and coalesce(head, 0) <> first - 1 as refused, halt from plan left join heads using (section))
+select count(*) as sections, count(*) filter (refused or halt <> 'Complete') as unfinished, count(*) filter (refused or halt <> 'Complete') = 0 as all_complete from r""")
+def import_all_complete(spark, sf_dir):
+    return restore.all_complete(restore.import_report(restore.section_plan(_blocks(spark, sf_dir)), _import_heads(spark, sf_dir)))
+
+
 # -- commands and reactions --------------------------------------------------------------------------
 
 
@@ -431,6 +477,31 @@ def saga_react(spark, sf_dir):
     return rows.select("saga_id", "position", reaction.alias("reaction"))
 
 
+@query(f"""with {SAGA}, r as (select k as saga_id, position, event_type from u where event_type in ('signup', 'purchase') and k is not null),
+p as (select *, min(case when event_type = 'signup' then position end) over (partition by saga_id) as placed from r),
+s as (select *, min(case when event_type = 'purchase' and position > placed then position end) over (partition by saga_id) as settled from p),
+o as (select *, case when event_type = 'signup' then case when position = placed then 'Reacted' else 'Ignored' end
+  when placed is null or position < placed then 'Rejected' when position = settled then 'Reacted' else 'Ignored' end as outcome from s)
+select saga_id, position, outcome, case when outcome = 'Rejected' then 'UnknownOrder' end as error,
+case when outcome = 'Reacted' then case when event_type = 'signup' then 'PaymentRequested' else 'PaymentSettled,OrderCompleted' end else '' end as events from o""")
+def saga_react_and_save(spark, sf_dir):
+    """Orders as sagas with a state: a payment before its order is refused, repeats are ignored, a settlement gives two events."""
+    signup = lambda e: e["event_type"] == "signup"
+
+    def reaction(state, event):
+        error = F.when(~signup(event) & ~state["placed"], "UnknownOrder")
+        placing = F.when(~state["placed"], F.array(F.lit("PaymentRequested")))
+        settling = F.when(~state["completed"], F.array(F.lit("PaymentSettled"), F.lit("OrderCompleted")))
+        return error, F.when(signup(event), placing).otherwise(settling)
+
+    def advance(state, event, events):
+        return F.struct(F.lit(True).alias("placed"), (state["completed"] | ~signup(event)).alias("completed"))
+
+    start = F.struct(F.lit(False).alias("placed"), F.lit(False).alias("completed"))
+    found = decide.react(_routed(spark, sf_dir), ["event_type"], start, reaction, advance)
+    return found.withColumn("events", F.coalesce(F.array_join("events", ","), F.lit("")))
+
+
 @query(f"""with {SAGA}, r as (select k as saga_id, event_type, cast(row_number() over (partition by k order by position) as bigint) as version from u where event_type in ('signup', 'purchase') and k is not null)
 select saga_id, version, 'TakePayment' as intent from r where event_type = 'signup'""")
 def saga_intents(spark, sf_dir):
@@ -482,6 +553,19 @@ def command_corrupt_state(spark, sf_dir):
     return counts.where("n > 1")
 
 
+@query(f"""with {ORDERS}, f as (select l_orderkey, count(*) as n from lineitem group by 1),
+r as (select log.stream_id, version, order_id % 1000 as request_id, coalesce(n, 0) as n from log left join f on l_orderkey = order_id),
+s as (select *, sum(n) over (partition by stream_id order by version) as running, min(version) over (partition by stream_id, request_id) as first from r),
+c as (select *, min(case when version > first or running > 60 then version end) over (partition by stream_id) as corrupt_at from s)
+select stream_id, count(*) filter (corrupt_at is null or version < corrupt_at) as records,
+cast(coalesce(sum(n) filter (corrupt_at is null or version < corrupt_at), 0) as bigint) as facts, min(corrupt_at) as corrupt_at from c group by 1""")
+def command_fact_budget(spark, sf_dir):
+    """Acceptance records of every customer, each with its order's lines as facts, until one repeats a request or passes the budget."""
+    facts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.count("*").alias("n"))
+    records = orders_log(spark, sf_dir).join(facts, "order_id", "left").withColumn("request_id", F.col("order_id") % 1000)
+    return decide.accepted_until(records, F.coalesce("n", F.lit(0)), 60)
+
+
 # -- schema evolution --------------------------------------------------------------------------------
 
 

@@ -116,6 +116,14 @@ class EventLog:
     def view(self, lifetime: float | None = None) -> View:
         return View(self, self._commits(), lifetime)
 
+    def _check_positions(self, folder: str, base: int, last: int) -> None:
+        """Before events are published: their positions must be all those from ``base`` + 1 to ``last``, each once."""
+        found = self.spark.read.schema(SCHEMA).parquet(folder).agg(
+            F.count("*").alias("n"), F.count_distinct("position").alias("k"), F.min("position").alias("a"), F.max("position").alias("b")
+        ).first()
+        if (found.n, found.k, found.a, found.b) != (last - base, last - base, base + 1, last):
+            raise InvalidEnvelope(f"positions of {folder}: {found}")
+
     def append(self, runs: DataFrame, attempts: int = 20) -> tuple[str, int] | None:
         """Appends runs (stream_id, expected, version, event_type, schema_version, payload, metadata), all or none.
 
@@ -149,6 +157,7 @@ class EventLog:
                 f"{self.path}/events/{folder}-{attempt}"
             )
             number, last = len(view.commits) + 1, view.position + checks.n
+            self._check_positions(f"{self.path}/events/{folder}-{attempt}", view.position, last)
             commit = Commit(number, view.position, last, f"{folder}-{attempt}", uuid.uuid4().hex)
             if self._create(f"commits/{number:012d}", json.dumps(commit.__dict__)):
                 return self.history, last

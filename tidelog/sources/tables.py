@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidelog.operators.fold import BLOCK, numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream for each user, in the order of event ids; cents is the value in hundredths."""
-    return table(spark, sf_dir, "events").select(
-        (F.col("event_id") + 1).cast("long").alias("position"),
-        F.col("user_id").alias("stream_id"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("version"),
-        "event_type",
-        F.round(F.col("value") * 100).cast("long").alias("cents"),
-        F.col("props").alias("payload"),
-    )
+    rows = numbered(events_by_position(spark, sf_dir), "stream_id", ["position"], F.floor(F.col("position") / BLOCK))
+    return rows.select("position", "stream_id", "version", "event_type", "cents", "payload")
 
 
 def events_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +45,11 @@ def conversations_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream for each customer, in the order of order date and key."""
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("stream_id"),
-        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("version"),
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "stream_id")
+    rows = numbered(rows, "stream_id", ["o_orderdate", "o_orderkey"], F.trunc("o_orderdate", "year"))
+    return rows.select(
+        "stream_id",
+        "version",
         F.col("o_orderstatus").alias("event_type"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
         F.col("o_orderkey").alias("order_id"),
