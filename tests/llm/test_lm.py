@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidelog.llm import lm
 
@@ -39,16 +41,76 @@ def test_scores_are_the_sum_over_all_places():
 
 
 def test_a_step_follows_the_gradient():
-    net, rng = lm.Network(), np.random.default_rng(1)
+    rng = np.random.default_rng(1)
     ids = rng.integers(0, 9, 400)
     context, target = lm.contexts(ids), ids.astype(np.int64)
-    before = net.prepared().log_probabilities(context, target).sum()
-    squares = np.full(lm.Network.SIZE, 1e-2)
-    for _ in range(30):
-        lm.train_steps(net, context, target, squares)
-    assert net.prepared().log_probabilities(context, target).sum() > before + 50
+    for drawn in (np.arange(lm.CLASSES), None):
+        net = lm.Network()
+        before = net.prepared().log_probabilities(context, target).sum()
+        squares = np.full(lm.Network.SIZE, 1e-2)
+        for _ in range(40):
+            lm.train_steps(net, context, target, squares, np.sort(rng.permutation(lm.CLASSES)[: lm.DRAWN]) if drawn is None else drawn)
+        assert net.prepared().log_probabilities(context, target).sum() > before + 20
+
+
+def test_the_complete_draw_gives_the_exact_gradient():
+    """A tiny step against all classes moves the likelihood as finite differences say."""
+    net, rng = lm.Network(), np.random.default_rng(2)
+    ids = rng.integers(0, lm.CLASSES, 300)
+    context, target = lm.contexts(ids), ids.astype(np.int64)
+    loss = lambda flat: -lm.Network(flat).prepared().log_probabilities(context, target).mean(dtype=np.float64)
+    start = net.flat.astype(np.float64)
+    squares = np.full(lm.Network.SIZE, 1e12)  # then a step is the gradient times rate / 1e6
+    lm.train_steps(net, context, target, squares, np.arange(lm.CLASSES), rate=1e6)
+    gradient = start - net.flat
+    for k in np.argsort(-np.abs(gradient))[:5]:
+        up, down = start.copy(), start.copy()
+        up[k] += 1e-2
+        down[k] -= 1e-2
+        assert abs((loss(up) - loss(down)) / 2e-2 - gradient[k]) < 0.05 * abs(gradient[k]) + 1e-4
+
+
+def test_every_place_is_used_once():
+    places = [sorted(k for turn in range(lm.ROUNDS) for k in range((key + turn) % lm.EVERY, 50, lm.EVERY)) for key in range(5)]
+    assert places == [list(range(50))] * 5
 
 
 def test_vocabulary_counts_all_texts(spark, docs):
-    assert set(lm.vocabulary(docs)[:4]) == {"red", "green", "blue", "grey"}
+    assert set(lm.vocabulary(lm.word_counts(docs))[:4]) == {"red", "green", "blue", "grey"}
     assert lm.pseudo_likelihoods(docs.limit(0)).collect() == []
+
+
+def test_scores_are_those_of_words(spark):
+    """The sums of class probability and share of the class, word by word in plain Python."""
+    rng = random.Random(6)
+    bank = [f"w{i}" for i in range(900)]
+    texts = [" ".join(rng.choices(bank, weights=[1 / (1 + i) for i in range(900)], k=rng.randint(1, 200))) + " é! _x" for _ in range(60)]
+    frame = spark.createDataFrame([(i % 7, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    counts = lm.word_counts(frame)
+    words = lm.vocabulary(counts)
+    rest, sizes = lm.shared_classes(counts, words)
+    corpus = lm.tokens(frame, words)
+    weights = lm.Network(seed=3).flat
+    got = sorted((r.doc_id, r.n_tokens, round(r.log_likelihood, 2)) for r in lm.with_words(lm.score(corpus, weights, sizes), corpus, rest).collect())
+    split = [lm.WORDS.findall((t or "").lower()) for t in [*texts, None, ""]]
+    n = Counter(w for ws in split for w in ws)
+    assert words == sorted(n, key=lambda w: (-n[w], w))[: lm.KNOWN]
+    number = {w: i for i, w in enumerate(words)}
+    cls = lambda w: number.get(w, lm.KNOWN + xxhash.xxh64_intdigest(w.encode(), 42) % lm.HASHED)
+    of = Counter()
+    for w, k in n.items():
+        of[cls(w)] += k
+    net, want = lm.Network(weights).prepared(), []
+    for i, ws in enumerate(split):
+        ids = np.array([cls(w) for w in ws], dtype=np.int64)
+        total = net.log_probabilities(lm.contexts(ids), ids).sum(dtype=np.float64) if ws else 0.0
+        want.append((i % 7, len(ws), round(float(total) + sum(np.log(n[w] / of[cls(w)]) for w in ws if w not in number), 2)))
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.05 for a, b in zip(got, sorted(want)))
+
+
+def test_registered_query(spark, docs, tmp_path):
+    from tidelog.llm.registry import QUERIES
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op8_likelihood"](spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() and all(r.log_likelihood <= 0 for r in rows)

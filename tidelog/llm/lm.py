@@ -1,39 +1,43 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are words. The vocabulary is the most frequent words of the whole corpus; all other words share a
-fixed number of hashed classes, so a token is one byte and the corpus is stored as one byte string a
-document. The network sees the embeddings of the tokens on both sides of a place, not the token itself, and
-a hidden layer and a softmax give that token's probability. A document's score is the sum of the logarithms
-over all its tokens.
-
-Training is data-parallel. In each round every task starts from the same weights and runs gradient steps
-over places drawn from all documents that it reads; the new weights are averaged by Spark, weighted by the
-places they saw, and become the next round's start.
+Tokens are words. The most frequent words of the corpus are classes of their own, all others share a fixed number
+of hashed classes, so a token is one byte and the corpus is stored as one byte string a document. The network sees
+the embeddings of the tokens on both sides of a place, not the token itself, and a hidden layer and a softmax give
+the probability of that token's class. Within a hashed class a word's probability is its share of the class's words
+in the corpus: the counts of all words are a table that grows with the corpus, and every document's words of hashed
+classes are joined with it. A document's score is the sum of the logarithms of both over all its tokens.
+
+Training is data-parallel and sees every place once. In each round every task starts from the same weights and runs
+gradient steps over a third of the places that it reads, each against its own class and classes drawn for the batch
+(a sampled softmax); the new weights are averaged by Spark, weighted by the places they saw, and become the next
+round's start. Scores use the complete softmax.
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import written
 
-WORDS = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
+WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")  # runs of letters and digits, other signs one by one
 KNOWN, HASHED = 224, 32
 CLASSES = KNOWN + HASHED  # a token fits one byte
 EDGE = CLASSES  # stands beyond both ends of a text
 SIDE = 2
 EMBEDDING, HIDDEN = 16, 32
 ROUNDS = 3
-EVERY = 8  # of each document's places, one of so many is drawn in a round
+EVERY = 3  # of each document's places, one of so many is used in a round
 BATCH = 512
+DRAWN = 64  # classes that a batch's places are told apart from, besides their own
+CACHED_WORDS = 300_000
 PIECE = 1 << 20
 
 
@@ -49,8 +53,19 @@ def _pieces(text: str) -> Iterator[list[str]]:
     yield WORDS.findall(text[start:].lower())
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent words, counted over all texts; ties go to the word that sorts first."""
+class _Hashes(dict):
+    """The hash of every word asked for, equal to Spark's xxhash64."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return found
+
+
+_hashes = _Hashes()
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of all words of all texts; every task adds up its own before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -69,35 +84,57 @@ def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
         yield flush()
 
     partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    top = partial.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN)
-    return [r[0] for r in top.collect()]
+    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> list[str]:
+    """The most frequent words; ties go to the word that sorts first."""
+    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+
+
+def shared_classes(counts: DataFrame, words: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """(hash, n) of the words of hashed classes that are seen more than once, and the number of words seen in each class."""
+    rest = counts.where(~F.col("word").isin(words)) if words else counts
+    rest = rest.select(F.xxhash64("word").alias("hash"), "n")
+    sizes = np.ones(CLASSES)
+    for number, n in rest.groupBy((F.col("hash").bitwiseAND(F.lit(HASHED - 1).cast("long"))).alias("k")).agg(F.sum("n")).collect():  # HASHED rows
+        sizes[KNOWN + number] = n
+    return rest.where("n > 1"), sizes
 
 
 def tokens(docs: DataFrame, words: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tokens) with one byte for each token; empty for null texts and texts without tokens."""
-    known = {w: i for i, w in enumerate(words)}
+    """(row, doc_id, tokens, hashes, counts): one byte for each token, and the different words of hashed classes.
+
+    ``row`` tells rows apart. All are empty for null texts and texts without tokens.
+    """
+    order = sorted((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42), i) for i, w in enumerate(words))
+    known = np.array([h for h, _ in order] or [0], dtype=np.uint64)
+    number = np.array([i for _, i in order] or [0], dtype=np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = dict(known)
         for batch in batches:
-            out = []
-            for value in batch.column(1):
-                parts = []
+            if len(_hashes) > CACHED_WORDS:
+                _hashes.clear()
+            out, rare, times, ends = [], [], [], [0]
+            for value in batch.column(2):
+                parts, end = [], ends[-1]
                 for found in _pieces(value.as_py() or ""):
-                    ids = []
-                    for w in found:
-                        i = number.get(w)
-                        if i is None:
-                            i = KNOWN + zlib.crc32(w.encode("utf-8", "surrogatepass")) % HASHED
-                            if len(number) < 300_000:
-                                number[w] = i
-                        ids.append(i)
-                    parts.append(bytes(ids))
+                    hashes = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    own = (known[at] == hashes) & bool(words)
+                    parts.append(np.where(own, number[at], KNOWN + (hashes & np.uint64(HASHED - 1)).astype(np.uint8)).astype(np.uint8).tobytes())
+                    other, n = np.unique(hashes[~own], return_counts=True)
+                    rare.append(other.view(np.int64))
+                    times.append(n)
+                    end += len(n)
                 out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "tokens"])
+                ends.append(end)
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64))) for x in (rare, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), *lists], ["row", "doc_id", "tokens", "hashes", "counts"])
 
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, tokens binary")
+    kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return kept.mapInArrow(run, "row long, doc_id long, tokens binary, hashes array<long>, counts array<long>")
 
 
 class Network:
@@ -147,21 +184,30 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([wide[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def train_steps(net: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = 0.1) -> None:
-    """One Adagrad step on a batch of places."""
+def train_steps(net: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, drawn: np.ndarray, rate: float = 0.1) -> None:
+    """One Adagrad step on a batch of places, each told apart from the ``drawn`` classes, which stand for all."""
     n = len(target)
     looked = net.embed[context].reshape(n, -1)
     hidden = np.tanh(looked @ net.inner + net.inner_bias)
-    logits = hidden @ net.outer + net.outer_bias
-    logits -= logits.max(axis=1, keepdims=True)
-    slope = np.exp(logits)
-    slope /= slope.sum(axis=1, keepdims=True)
-    slope[np.arange(n), target] -= 1
-    slope /= n
-    back = (slope @ net.outer.T) * (1 - hidden**2)
+    outer, own_outer = net.outer[:, drawn], net.outer.T[target]
+    logits = hidden @ outer + (net.outer_bias[drawn] + np.float32(np.log((CLASSES - 1) / max(1, len(drawn) - 1))))
+    logits[target[:, None] == drawn] = -np.inf  # the place's own class stands apart
+    own = (hidden * own_outer).sum(axis=1) + net.outer_bias[target]
+    top = np.maximum(logits.max(axis=1), own)
+    slope = np.exp(logits - top[:, None])
+    own = np.exp(own - top)
+    total = slope.sum(axis=1) + own
+    slope /= total[:, None] * np.float32(n)
+    own = (own / total - 1) / np.float32(n)
+    back = (slope @ outer.T + own[:, None] * own_outer) * (1 - hidden**2)
     lanes = (context.reshape(-1, 1) * EMBEDDING + np.arange(EMBEDDING)).ravel()
     g_embed = np.bincount(lanes, weights=(back @ net.inner.T).ravel(), minlength=net.embed.size)
-    parts = (g_embed, looked.T @ back, back.sum(axis=0), hidden.T @ slope, slope.sum(axis=0))
+    lanes = (target[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+    g_outer = np.bincount(lanes, weights=(own[:, None] * hidden).ravel(), minlength=net.outer.size).reshape(CLASSES, HIDDEN).T.copy()
+    g_outer[:, drawn] += hidden.T @ slope
+    g_bias = np.bincount(target, weights=own, minlength=CLASSES)
+    g_bias[drawn] += slope.sum(axis=0)
+    parts = (g_embed, looked.T @ back, back.sum(axis=0), g_outer, g_bias)
     gradient = np.concatenate([p.ravel() for p in parts])
     squares += gradient**2
     net.flat -= (rate * gradient / np.sqrt(squares + 1e-6)).astype(np.float32)
@@ -175,7 +221,7 @@ def fit(corpus: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarr
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             net = Network(start.value.copy())
-            squares = np.full(Network.SIZE, 0.01 * (turn + 1))
+            squares, rng = np.full(Network.SIZE, 0.01 * (turn + 1)), np.random.default_rng(turn)
             seen, held, size = 0, [], 0
             for batch in batches:
                 for key, value in zip(batch.column(0), batch.column(1)):
@@ -185,10 +231,10 @@ def fit(corpus: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarr
                         held.append((contexts(ids)[first::every], ids[first::every]))
                         size += len(held[-1][1])
                     if size >= 16 * BATCH:
-                        seen += _train_held(net, held, squares)
+                        seen += _train_held(net, held, squares, rng)
                         held, size = [], 0
             if held:
-                seen += _train_held(net, held, squares)
+                seen += _train_held(net, held, squares, rng)
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(Network.SIZE)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(Network.SIZE, seen))], ["i", "w", "n"]
@@ -203,23 +249,27 @@ def fit(corpus: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarr
     return weights
 
 
-def _train_held(net: Network, held: list, squares: np.ndarray) -> int:
+def _train_held(net: Network, held: list, squares: np.ndarray, rng: np.random.Generator) -> int:
     context = np.concatenate([c for c, _ in held])
     target = np.concatenate([t for _, t in held]).astype(np.int64)
     for at in range(0, len(target), BATCH):
-        train_steps(net, context[at : at + BATCH], target[at : at + BATCH], squares)
+        train_steps(net, context[at : at + BATCH], target[at : at + BATCH], squares, np.sort(rng.permutation(CLASSES)[:DRAWN]))
     return len(target)
 
 
-def score(corpus: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood) for every row of stored tokens; no tokens have likelihood 0."""
+def score(corpus: DataFrame, weights: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """(row, doc_id, n_tokens, log_likelihood) for every row of stored tokens; no tokens have likelihood 0.
+
+    The likelihood is that of the classes, as if every word of a hashed class were seen once among the class's ``sizes``.
+    """
     sent = corpus.sparkSession.sparkContext.broadcast(weights)
+    share = -np.log(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(sent.value).prepared()
         for batch in batches:
-            docs = [np.frombuffer(x.as_py() or b"", dtype=np.uint8) for x in batch.column(1)]
-            total = np.zeros(len(docs))
+            docs = [np.frombuffer(x.as_py() or b"", dtype=np.uint8) for x in batch.column(2)]
+            total = np.array([np.bincount(d, minlength=CLASSES) @ share for d in docs])
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
             size = 0
 
@@ -240,18 +290,32 @@ def score(corpus: DataFrame, weights: np.ndarray) -> DataFrame:
                         size = 0
             flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"]
+                [batch.column(0), batch.column(1), pa.array([len(d) for d in docs], pa.int64()), pa.array(total)], ["row", "doc_id", "n_tokens", "log_likelihood"]
             )
 
-    return corpus.select("doc_id", "tokens").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
+    return corpus.select("row", "doc_id", "tokens").mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double")
+
+
+def with_words(scored: DataFrame, corpus: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds to the likelihoods of the classes those of the words within them, from the table (hash, n) of all counts."""
+    used = corpus.select("row", F.explode(F.arrays_zip("hashes", "counts")).alias("u")).select("row", F.col("u.hashes").alias("hash"), F.col("u.counts").alias("times"))
+    more = used.join(counts, "hash").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    rows = scored.join(more, "row", "left")
+    return rows.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
 
 
 def pseudo_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Trains on ``docs`` and scores them: (doc_id, n_tokens, log_likelihood, mean_log_likelihood).
 
     Null and empty texts have no tokens, likelihood 0 and a null mean. Equal texts have equal scores up to
-    rounding. Repeated rows stay repeated; other columns are dropped.
+    rounding. Repeated rows stay repeated; other columns are dropped, whatever their names. Of equally frequent words
+    the one that sorts first is a class of its own. Very long texts are cut into words piece by piece; their tokens,
+    one byte each, are scored in blocks. An empty table gives an empty one. The weights depend slightly on how the
+    rows are dealt to tasks.
     """
-    corpus = written(tokens(docs, vocabulary(docs, text), doc_id, text), "tokens")
-    found = score(corpus, fit(corpus))
+    counts = written(word_counts(docs, text), "word-counts")
+    words = vocabulary(counts)
+    rest, sizes = shared_classes(counts, words)
+    corpus = written(tokens(docs, words, doc_id, text), "tokens")
+    found = with_words(score(corpus, fit(corpus), sizes), corpus, rest)
     return found.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
