@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.sources.scratch import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "clear_scratch", "dropped", "read_table", "shared_folder", "ship_package", "written"]
 
 _shipped: set[str] = set()
 
@@ -31,21 +34,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests, a laptop) a temporary
-    folder of this machine is set in its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tidelog-{spark.sparkContext.applicationId}"
 
@@ -80,8 +68,3 @@ def dropped(*tables: DataFrame) -> None:
     for table in tables:
         if path := getattr(table, "_scratch_path", None):
             _delete(table.sparkSession, path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
