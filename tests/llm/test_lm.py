@@ -8,6 +8,10 @@ import xxhash
 from tidelog.llm import lm
 
 
+def signed_hash(word):
+    return int(np.uint64(xxhash.xxh64_intdigest(word.encode(), 42)).astype(np.int64))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(4)
@@ -76,7 +80,7 @@ def test_every_place_is_used_once():
 
 
 def test_vocabulary_counts_all_texts(spark, docs):
-    assert set(lm.vocabulary(lm.word_counts(docs))[:4]) == {"red", "green", "blue", "grey"}
+    assert set(lm.vocabulary(lm.word_counts(lm.split(docs)))[:4]) == {signed_hash(w) for w in ("red", "green", "blue", "grey")}
     assert lm.pseudo_likelihoods(docs.limit(0)).collect() == []
 
 
@@ -86,15 +90,18 @@ def test_scores_are_those_of_words(spark):
     bank = [f"w{i}" for i in range(900)]
     texts = [" ".join(rng.choices(bank, weights=[1 / (1 + i) for i in range(900)], k=rng.randint(1, 200))) + " é! _x" for _ in range(60)]
     frame = spark.createDataFrame([(i % 7, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
-    counts = lm.word_counts(frame)
+    cut = lm.split(frame).cache()
+    counts = lm.word_counts(cut)
     words = lm.vocabulary(counts)
     rest, sizes = lm.shared_classes(counts, words)
-    corpus = lm.tokens(frame, words)
+    corpus = lm.tokens(cut, words)
     weights = lm.Network(seed=3).flat
-    got = sorted((r.doc_id, r.n_tokens, round(r.log_likelihood, 2)) for r in lm.with_words(lm.score(corpus, weights, sizes), corpus, rest).collect())
+    got = sorted((r.doc_id, r.n_tokens, round(r.log_likelihood, 2)) for r in lm.with_words(lm.score(corpus, weights, sizes), cut, rest, words).collect())
     split = [lm.WORDS.findall((t or "").lower()) for t in [*texts, None, ""]]
     n = Counter(w for ws in split for w in ws)
-    assert words == sorted(n, key=lambda w: (-n[w], w))[: lm.KNOWN]
+    want_words = sorted(n, key=lambda w: (-n[w], signed_hash(w)))[: lm.KNOWN]
+    assert words == [signed_hash(w) for w in want_words]
+    words = want_words
     number = {w: i for i, w in enumerate(words)}
     cls = lambda w: number.get(w, lm.KNOWN + xxhash.xxh64_intdigest(w.encode(), 42) % lm.HASHED)
     of = Counter()
@@ -114,3 +121,16 @@ def test_registered_query(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = QUERIES["op8_likelihood"](spark, str(tmp_path)).collect()
     assert len(rows) == docs.count() and all(r.log_likelihood <= 0 for r in rows)
+
+
+def test_splitting_loses_no_token(spark):
+    """Places and hashes give back the tokens of the plain pattern, also in long texts and beside low lines."""
+    many = " ".join(f"x{i}" for i in range(70_000))
+    texts = ["", None, "a_b __c, d\u0301 \u00e9t\u00e9 \u4e2d\u6587 \u0661\u0662 a a!", "one two one", "z" * 5, many, "w\u00f6rd " * 300_000, "__ _ " * 10]
+    rows = lm.split(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = lm.WORDS.findall((texts[r.doc_id] or "").lower())
+        places = np.frombuffer(bytes(r.places), dtype=lm._width(len(r.hashes)))
+        assert [r.hashes[p] for p in places] == [signed_hash(w) for w in want]
+        assert sum(r.counts) == len(want) and len(set(r.hashes)) == len(set(want))

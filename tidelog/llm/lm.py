@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are words. The most frequent words of the corpus are classes of their own, all others share a fixed number
-of hashed classes, so a token is one byte and the corpus is stored as one byte string a document. The network sees
+Tokens are words. Every text is cut into them once and stored as hashes of its different words and their places. The
+most frequent words of the corpus are classes of their own, all others share a fixed number of hashed classes, so a
+token is one byte and the corpus is stored as one byte string a document. The network sees
 the embeddings of the tokens on both sides of a place, not the token itself, and a hidden layer and a softmax give
 the probability of that token's class. Within a hashed class a word's probability is its share of the class's words
 in the corpus: the counts of all words are a table that grows with the corpus, and every document's words of hashed
@@ -16,7 +17,6 @@ round's start. Scores use the complete softmax.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.shared import written
 
 WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")  # runs of letters and digits, other signs one by one
+WORDS_WITHOUT_LINES = re.compile(r"\w+|[^\w\s]")  # finds the same in texts without a low line, in half the time
 KNOWN, HASHED = 224, 32
 CLASSES = KNOWN + HASHED  # a token fits one byte
 EDGE = CLASSES  # stands beyond both ends of a text
@@ -37,104 +38,94 @@ ROUNDS = 3
 EVERY = 3  # of each document's places, one of so many is used in a round
 BATCH = 512
 DRAWN = 64  # classes that a batch's places are told apart from, besides their own
-CACHED_WORDS = 300_000
 PIECE = 1 << 20
 
 
 def _pieces(text: str) -> Iterator[list[str]]:
     """The tokens of a text, piece by piece, cut at white space."""
     start = 0
-    while len(text) - start > PIECE:
+    while start < len(text):
         end = start + PIECE
         while end < len(text) and not text[end].isspace():
             end += 1
-        yield WORDS.findall(text[start:end].lower())
+        piece = text[start:end].lower()
+        yield (WORDS if "_" in piece else WORDS_WITHOUT_LINES).findall(piece)
         start = end
-    yield WORDS.findall(text[start:].lower())
 
 
-class _Hashes(dict):
-    """The hash of every word asked for, equal to Spark's xxhash64."""
+def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, doc_id, places, hashes, counts): every text cut into tokens, once for all that follows.
 
-    def __missing__(self, word: str) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-        return found
+    ``hashes`` and ``counts`` are the different words of a text, by Spark's xxhash64, and how often each is seen;
+    ``places`` gives for every token its index among them, in two bytes if these suffice, else in four. ``row`` tells
+    rows apart. All are empty for null texts and texts without tokens.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, hashes, counts, ends = [], [], [], [0]
+            for value in batch.column(2):
+                seen: dict[str, int] = {}
+                parts = [
+                    np.fromiter([seen.setdefault(word, len(seen)) for word in found], dtype=np.uint32, count=len(found))
+                    for found in _pieces(value.as_py() or "")
+                ]
+                places = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+                out.append(places.astype(_width(len(seen))).tobytes())
+                hashes.append(np.fromiter([xxhash.xxh64_intdigest(word, 42) for word in seen], dtype=np.uint64, count=len(seen)).view(np.int64))
+                counts.append(np.bincount(places, minlength=len(seen)))
+                ends.append(ends[-1] + len(seen))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x).astype(np.int64))) for x in (hashes, counts)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), *lists], ["row", "doc_id", "places", "hashes", "counts"])
 
-_hashes = _Hashes()
+    kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return kept.mapInArrow(run, "row long, doc_id long, places binary, hashes array<long>, counts array<long>")
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) of all words of all texts; every task adds up its own before they are shuffled."""
+def _width(different: int) -> type:
+    return np.uint16 if different <= 1 << 16 else np.uint32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+def word_counts(cut: DataFrame) -> DataFrame:
+    """(hash, n) of all words of all texts that :func:`split` has cut."""
+    used = cut.select(F.explode(F.arrays_zip("hashes", "counts")).alias("u"))
+    return used.groupBy(F.col("u.hashes").alias("hash")).agg(F.sum("u.counts").alias("n"))
 
-        for batch in batches:
-            for value in batch.column(0):
-                for words in _pieces(value.as_py() or ""):
-                    counts.update(words)
-                if len(counts) > 200_000:
-                    yield flush()
-        yield flush()
 
-    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+def vocabulary(counts: DataFrame) -> list[int]:
+    """The hashes of the most frequent words; ties go to the least hash."""
+    return [r[0] for r in counts.orderBy(F.desc("n"), "hash").limit(KNOWN).collect()]
 
 
-def vocabulary(counts: DataFrame) -> list[str]:
-    """The most frequent words; ties go to the word that sorts first."""
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
-
-
-def shared_classes(counts: DataFrame, words: list[str]) -> tuple[DataFrame, np.ndarray]:
+def shared_classes(counts: DataFrame, words: list[int]) -> tuple[DataFrame, np.ndarray]:
     """(hash, n) of the words of hashed classes that are seen more than once, and the number of words seen in each class."""
-    rest = counts.where(~F.col("word").isin(words)) if words else counts
-    rest = rest.select(F.xxhash64("word").alias("hash"), "n")
+    rest = counts.where(~F.col("hash").isin(words)) if words else counts
     sizes = np.ones(CLASSES)
     for number, n in rest.groupBy((F.col("hash").bitwiseAND(F.lit(HASHED - 1).cast("long"))).alias("k")).agg(F.sum("n")).collect():  # HASHED rows
         sizes[KNOWN + number] = n
     return rest.where("n > 1"), sizes
 
 
-def tokens(docs: DataFrame, words: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, tokens, hashes, counts): one byte for each token, and the different words of hashed classes.
-
-    ``row`` tells rows apart. All are empty for null texts and texts without tokens.
-    """
-    order = sorted((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42), i) for i, w in enumerate(words))
-    known = np.array([h for h, _ in order] or [0], dtype=np.uint64)
-    number = np.array([i for _, i in order] or [0], dtype=np.uint8)
+def tokens(cut: DataFrame, words: list[int]) -> DataFrame:
+    """(row, doc_id, tokens): the class of every token, one byte for each, from a table of :func:`split`."""
+    known = np.sort(np.array(words, dtype=np.int64))
+    number = np.argsort(np.array(words, dtype=np.int64)).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(_hashes) > CACHED_WORDS:
-                _hashes.clear()
-            out, rare, times, ends = [], [], [], [0]
-            for value in batch.column(2):
-                parts, end = [], ends[-1]
-                for found in _pieces(value.as_py() or ""):
-                    hashes = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    own = (known[at] == hashes) & bool(words)
-                    parts.append(np.where(own, number[at], KNOWN + (hashes & np.uint64(HASHED - 1)).astype(np.uint8)).astype(np.uint8).tobytes())
-                    other, n = np.unique(hashes[~own], return_counts=True)
-                    rare.append(other.view(np.int64))
-                    times.append(n)
-                    end += len(n)
-                out.append(b"".join(parts))
-                ends.append(end)
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64))) for x in (rare, times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), *lists], ["row", "doc_id", "tokens", "hashes", "counts"])
+            hashes = batch.column(3).flatten().to_numpy()
+            classes = (KNOWN + (hashes & (HASHED - 1))).astype(np.uint8)
+            if words:
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                classes = np.where(known[at] == hashes, number[at], classes)
+            lengths, start, out = batch.column(3).value_lengths().to_pylist(), 0, []
+            for value, length in zip(batch.column(2), lengths):
+                out.append(classes[start : start + length][np.frombuffer(value.as_py(), dtype=_width(length))].tobytes())
+                start += length
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row", "doc_id", "tokens"])
 
-    kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept.mapInArrow(run, "row long, doc_id long, tokens binary, hashes array<long>, counts array<long>")
+    return cut.select("row", "doc_id", "places", "hashes").mapInArrow(run, "row long, doc_id long, tokens binary")
 
 
 class Network:
@@ -296,9 +287,10 @@ def score(corpus: DataFrame, weights: np.ndarray, sizes: np.ndarray) -> DataFram
     return corpus.select("row", "doc_id", "tokens").mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double")
 
 
-def with_words(scored: DataFrame, corpus: DataFrame, counts: DataFrame) -> DataFrame:
+def with_words(scored: DataFrame, cut: DataFrame, counts: DataFrame, words: list[int]) -> DataFrame:
     """Adds to the likelihoods of the classes those of the words within them, from the table (hash, n) of all counts."""
-    used = corpus.select("row", F.explode(F.arrays_zip("hashes", "counts")).alias("u")).select("row", F.col("u.hashes").alias("hash"), F.col("u.counts").alias("times"))
+    used = cut.select("row", F.explode(F.arrays_zip("hashes", "counts")).alias("u")).select("row", F.col("u.hashes").alias("hash"), F.col("u.counts").alias("times"))
+    used = used.where(~F.col("hash").isin(words)) if words else used
     more = used.join(counts, "hash").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
     rows = scored.join(more, "row", "left")
     return rows.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
@@ -309,13 +301,14 @@ def pseudo_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Null and empty texts have no tokens, likelihood 0 and a null mean. Equal texts have equal scores up to
     rounding. Repeated rows stay repeated; other columns are dropped, whatever their names. Of equally frequent words
-    the one that sorts first is a class of its own. Very long texts are cut into words piece by piece; their tokens,
-    one byte each, are scored in blocks. An empty table gives an empty one. The weights depend slightly on how the
+    the one with the least hash is a class of its own; words are told apart by 64-bit hashes. Very long texts are cut
+    into words piece by piece; their tokens, one byte each, are scored in blocks. An empty table gives an empty one. The weights depend slightly on how the
     rows are dealt to tasks.
     """
-    counts = written(word_counts(docs, text), "word-counts")
+    cut = written(split(docs, doc_id, text), "cut-texts")
+    counts = written(word_counts(cut), "word-counts")
     words = vocabulary(counts)
     rest, sizes = shared_classes(counts, words)
-    corpus = written(tokens(docs, words, doc_id, text), "tokens")
-    found = with_words(score(corpus, fit(corpus), sizes), corpus, rest)
+    corpus = written(tokens(cut, words), "tokens")
+    found = with_words(score(corpus, fit(corpus), sizes), cut, rest, words)
     return found.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
