@@ -37,41 +37,55 @@ def test_scores_are_the_sum_over_all_places():
     net = lm.Network().prepared()
     ids = np.array([1, 2, 3, 250, 7], dtype=np.uint8)
     looked = net.embed[lm.contexts(ids)].reshape(len(ids), -1)
-    logits = np.tanh(looked @ net.inner + net.inner_bias) @ net.outer + net.outer_bias
-    want = [row[i] - np.log(np.exp(row).sum()) for row, i in zip(logits, ids)]
+    hidden, want = np.tanh(looked @ net.inner + net.inner_bias), []
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    for h, i in zip(hidden, ids):
+        g, k = divmod(int(i), lm.IN_GROUP)
+        want.append(log_softmax(h @ net.group + net.group_bias)[g] + log_softmax(h @ net.outer[g] + net.outer_bias[g])[k])
     assert np.allclose(net.log_probabilities(lm.contexts(ids), ids.astype(np.int64)), want, atol=1e-5)
     around = lm.contexts(ids)
     assert around[0].tolist() == [lm.EDGE, lm.EDGE, 2, 3] and around[2].tolist() == [1, 2, 250, 7]
 
 
+def test_probabilities_of_all_classes_sum_to_one():
+    net = lm.Network(seed=5).prepared()
+    for scale in (1, 400):  # the second makes logits whose exponentials are not finite
+        net.outer *= scale
+        around = np.repeat(lm.contexts(np.array([1, 2, 3], dtype=np.uint8))[1:2], lm.CLASSES, axis=0)
+        p = np.exp(net.log_probabilities(around, np.arange(lm.CLASSES)).astype(np.float64))
+        assert np.isfinite(p).all() and abs(p.sum() - 1) < 1e-3
+
+
 def test_a_step_follows_the_gradient():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 9, 400)
     context, target = lm.contexts(ids), ids.astype(np.int64)
-    for drawn in (np.arange(lm.CLASSES), None):
-        net = lm.Network()
-        before = net.prepared().log_probabilities(context, target).sum()
-        squares = np.full(lm.Network.SIZE, 1e-2)
-        for _ in range(40):
-            lm.train_steps(net, context, target, squares, np.sort(rng.permutation(lm.CLASSES)[: lm.DRAWN]) if drawn is None else drawn)
-        assert net.prepared().log_probabilities(context, target).sum() > before + 20
+    net = lm.Network()
+    before = net.prepared().log_probabilities(context, target).sum()
+    squares = np.full(lm.Network.SIZE, 1e-2)
+    for _ in range(40):
+        lm.train_steps(net, context, target, squares)
+    assert net.prepared().log_probabilities(context, target).sum() > before + 20
 
 
-def test_the_complete_draw_gives_the_exact_gradient():
-    """A tiny step against all classes moves the likelihood as finite differences say."""
+def test_a_step_has_the_exact_gradient():
+    """A tiny step moves every part of the weights as finite differences say."""
     net, rng = lm.Network(), np.random.default_rng(2)
     ids = rng.integers(0, lm.CLASSES, 300)
     context, target = lm.contexts(ids), ids.astype(np.int64)
     loss = lambda flat: -lm.Network(flat).prepared().log_probabilities(context, target).mean(dtype=np.float64)
     start = net.flat.astype(np.float64)
-    squares = np.full(lm.Network.SIZE, 1e12)  # then a step is the gradient times rate / 1e6
-    lm.train_steps(net, context, target, squares, np.arange(lm.CLASSES), rate=1e6)
-    gradient = start - net.flat
-    for k in np.argsort(-np.abs(gradient))[:5]:
-        up, down = start.copy(), start.copy()
-        up[k] += 1e-2
-        down[k] -= 1e-2
-        assert abs((loss(up) - loss(down)) / 2e-2 - gradient[k]) < 0.05 * abs(gradient[k]) + 1e-4
+    squares = np.full(lm.Network.SIZE, 1e12, dtype=np.float32)  # then a step is the gradient times rate / 1e6
+    lm.train_steps(net, context, target, squares, rate=1e6)
+    gradient, first = start - net.flat, 0
+    for shape in lm.Network.SHAPES:
+        part = np.arange(first, first + int(np.prod(shape)))
+        first = part[-1] + 1
+        for k in part[np.argsort(-np.abs(gradient[part]))[:3]]:
+            up, down = start.copy(), start.copy()
+            up[k] += 1e-2
+            down[k] -= 1e-2
+            assert abs((loss(up) - loss(down)) / 2e-2 - gradient[k]) < 0.05 * abs(gradient[k]) + 1e-4
 
 
 def test_every_place_is_used_once():

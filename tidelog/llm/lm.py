@@ -2,16 +2,16 @@
 
 Tokens are words. Every text is cut into them once and stored as hashes of its different words and their places. The
 most frequent words of the corpus are classes of their own, all others share a fixed number of hashed classes, so a
-token is one byte and the corpus is stored as one byte string a document. The network sees
-the embeddings of the tokens on both sides of a place, not the token itself, and a hidden layer and a softmax give
-the probability of that token's class. Within a hashed class a word's probability is its share of the class's words
-in the corpus: the counts of all words are a table that grows with the corpus, and every document's words of hashed
-classes are joined with it. A document's score is the sum of the logarithms of both over all its tokens.
+token is one byte and the corpus is stored as one byte string a document. The network sees the embeddings of the
+tokens on both sides of a place, not the token itself. A hidden layer and two softmaxes, over groups of classes and
+over the classes of the group, give the probability of that token's class. Within a hashed class a word's probability
+is its share of the class's words in the corpus: the counts of all words are a table that grows with the corpus, and
+every document's words of hashed classes are joined with it. A document's score is the sum of the logarithms of both
+over all its tokens.
 
 Training is data-parallel and sees every place once. In each round every task starts from the same weights and runs
-gradient steps over a third of the places that it reads, each against its own class and classes drawn for the batch
-(a sampled softmax); the new weights are averaged by Spark, weighted by the places they saw, and become the next
-round's start. Scores use the complete softmax.
+exact gradient steps over a third of the places that it reads; the new weights are averaged by Spark, weighted by the
+places they saw, and become the next round's start.
 """
 
 from __future__ import annotations
@@ -31,14 +31,17 @@ WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")  # runs of letters and digits, other si
 WORDS_WITHOUT_LINES = re.compile(r"\w+|[^\w\s]")  # finds the same in texts without a low line, in half the time
 KNOWN, HASHED = 224, 32
 CLASSES = KNOWN + HASHED  # a token fits one byte
+GROUPS = 8  # of the classes, in the order of their frequency; the hashed ones come last
+IN_GROUP = CLASSES // GROUPS
 EDGE = CLASSES  # stands beyond both ends of a text
 SIDE = 2
 EMBEDDING, HIDDEN = 16, 32
 ROUNDS = 3
 EVERY = 3  # of each document's places, one of so many is used in a round
 BATCH = 512
-DRAWN = 64  # classes that a batch's places are told apart from, besides their own
+SCORED = 4096  # places whose likelihoods are computed at once
 PIECE = 1 << 20
+LANES = np.arange((CLASSES + 1) * EMBEDDING).reshape(CLASSES + 1, EMBEDDING)  # places of the embeddings among all weights
 
 
 def _pieces(text: str) -> Iterator[list[str]]:
@@ -129,79 +132,133 @@ def tokens(cut: DataFrame, words: list[int]) -> DataFrame:
 
 
 class Network:
-    """The weights as one flat array and views of it."""
+    """The weights as one flat array and views of it. A class is a group and a place in it, each with its own softmax."""
 
-    SHAPES = ((CLASSES + 1, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = ((CLASSES + 1, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, IN_GROUP), (GROUPS, IN_GROUP))
     SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 11):
-        if flat is None:
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 11, views_of: np.ndarray | None = None):
+        if views_of is None and flat is None:
             rng = np.random.default_rng(seed)
-            scale = (0.3, 1 / np.sqrt(2 * SIDE * EMBEDDING), 0, 1 / np.sqrt(HIDDEN), 0)
+            deep = 1 / np.sqrt(HIDDEN)
+            scale = (0.3, 1 / np.sqrt(2 * SIDE * EMBEDDING), 0, deep, 0, deep, 0)
             flat = np.concatenate([(rng.normal(0, 1, s) * k).ravel() for s, k in zip(self.SHAPES, scale)])
-        self.flat = flat.astype(np.float32)
+        self.flat = flat.astype(np.float32) if views_of is None else views_of
         at, views = 0, []
         for shape in self.SHAPES:
             n = int(np.prod(shape))
             views.append(self.flat[at : at + n].reshape(shape))
             at += n
-        self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias = views
+        self.embed, self.inner, self.inner_bias, self.group, self.group_bias, self.outer, self.outer_bias = views
 
     def prepared(self) -> Network:
         """Keeps what does not change while only scoring: each side's words already through the inner layer."""
         cut = self.inner.reshape(2 * SIDE, EMBEDDING, HIDDEN)
         self.sides = [np.ascontiguousarray(self.embed @ c) for c in cut]
         self.sides[0] += self.inner_bias
-        # Hidden values lie in -1..1, so no logit goes beyond this; below 80 its exponential is finite.
-        self.steep = float((np.abs(self.outer).sum(axis=0) + np.abs(self.outer_bias)).max()) > 80
         return self
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of each place's class: the logarithms of its group's probability and of its own within the group, added."""
+        order = np.argsort(target)
+        context, group, own = context[order], target[order] // IN_GROUP, target[order] % IN_GROUP
         hidden = self.sides[0][context[:, 0]]
         for k in range(1, 2 * SIDE):
             hidden += self.sides[k][context[:, k]]
-        logits = np.tanh(hidden, out=hidden) @ self.outer
-        logits += self.outer_bias
-        if self.steep:
-            logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(target)), target]
-        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
-
-
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """The tokens on both sides of every place of a text."""
-    wide = np.full(len(ids) + 2 * SIDE, EDGE, dtype=np.int32)
+        np.tanh(hidden, out=hidden)
+        at = np.arange(len(order))
+        top = hidden @ self.group + self.group_bias
+        inside = self.inside(hidden, group)
+        found = np.empty(len(order), dtype=np.float32)
+        found[order] = _log_of(top, at, group) + _log_of(inside, at, own)
+        return found
+
+    def inside(self, hidden: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """The logits within each place's group; places come in the order of their groups."""
+        logits = np.empty((len(group), IN_GROUP), dtype=np.float32)
+        for g, first, after in _runs(group):
+            np.matmul(hidden[first:after], self.outer[g], out=logits[first:after])
+        logits += self.outer_bias[group]
+        return logits
+
+    def gradient(self) -> Network:
+        """A network of zeros, the same one at every call."""
+        if not hasattr(self, "slopes"):
+            self.slopes = Network(views_of=np.empty(self.SIZE, dtype=np.float32))
+        self.slopes.flat.fill(0)
+        return self.slopes
+
+
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, first, after) of the groups that occur in a sorted array."""
+    ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    return [(g, first, after) for g, (first, after) in enumerate(zip(ends, ends[1:])) if first < after]
+
+
+def _finite(logits: np.ndarray) -> np.ndarray:
+    """Shifts, in place, the rows of logits if any of their exponentials might not be finite or all vanish."""
+    if logits.size and (logits.max() > 80 or logits.min() < -80):
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of all logits, in their place, and the sum of every row."""
+    np.exp(_finite(logits), out=logits)
+    return logits, logits @ np.ones(logits.shape[1], dtype=np.float32)
+
+
+def _log_of(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax at ``own``; overwrites the logits."""
+    mine = _finite(logits)[at, own]
+    return mine - np.log(_exponentials(logits)[1])
+
+
+def contexts(ids: np.ndarray, first: int = 0, every: int = 1) -> np.ndarray:
+    """The tokens on both sides of every place of a text, or of each so many from ``first`` on."""
+    wide = np.full(len(ids) + 2 * SIDE, EDGE, dtype=np.intp)
     wide[SIDE : SIDE + len(ids)] = ids
-    return np.stack([wide[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
+    return np.stack([wide[k + first : k + len(ids) : every] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def train_steps(net: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, drawn: np.ndarray, rate: float = 0.1) -> None:
-    """One Adagrad step on a batch of places, each told apart from the ``drawn`` classes, which stand for all."""
+def train_steps(net: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = 0.1) -> None:
+    """One Adagrad step on a batch of places along the exact gradient of both softmaxes."""
     n = len(target)
+    order = np.argsort(target)
+    context, group, own = context[order], target[order] // IN_GROUP, target[order] % IN_GROUP
+    at = np.arange(n)
     looked = net.embed[context].reshape(n, -1)
     hidden = np.tanh(looked @ net.inner + net.inner_bias)
-    outer, own_outer = net.outer[:, drawn], net.outer.T[target]
-    logits = hidden @ outer + (net.outer_bias[drawn] + np.float32(np.log((CLASSES - 1) / max(1, len(drawn) - 1))))
-    logits[target[:, None] == drawn] = -np.inf  # the place's own class stands apart
-    own = (hidden * own_outer).sum(axis=1) + net.outer_bias[target]
-    top = np.maximum(logits.max(axis=1), own)
-    slope = np.exp(logits - top[:, None])
-    own = np.exp(own - top)
-    total = slope.sum(axis=1) + own
-    slope /= total[:, None] * np.float32(n)
-    own = (own / total - 1) / np.float32(n)
-    back = (slope @ outer.T + own[:, None] * own_outer) * (1 - hidden**2)
-    lanes = (context.reshape(-1, 1) * EMBEDDING + np.arange(EMBEDDING)).ravel()
-    g_embed = np.bincount(lanes, weights=(back @ net.inner.T).ravel(), minlength=net.embed.size)
-    lanes = (target[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
-    g_outer = np.bincount(lanes, weights=(own[:, None] * hidden).ravel(), minlength=net.outer.size).reshape(CLASSES, HIDDEN).T.copy()
-    g_outer[:, drawn] += hidden.T @ slope
-    g_bias = np.bincount(target, weights=own, minlength=CLASSES)
-    g_bias[drawn] += slope.sum(axis=0)
-    parts = (g_embed, looked.T @ back, back.sum(axis=0), g_outer, g_bias)
-    gradient = np.concatenate([p.ravel() for p in parts])
-    squares += gradient**2
-    net.flat -= (rate * gradient / np.sqrt(squares + 1e-6)).astype(np.float32)
+    to = net.gradient()
+
+    top = _slope(hidden @ net.group + net.group_bias, at, group)
+    np.matmul(hidden.T, top, out=to.group)
+    to.group_bias[:] = top.sum(axis=0)
+    back = top @ net.group.T
+
+    inside = _slope(net.inside(hidden, group), at, own)
+    runs = _runs(group)
+    for g, first, after in runs:
+        np.matmul(hidden[first:after].T, inside[first:after], out=to.outer[g])
+        back[first:after] += inside[first:after] @ net.outer[g].T
+    to.outer_bias[[g for g, _, _ in runs]] = np.add.reduceat(inside, [first for _, first, _ in runs])
+
+    back *= 1 - hidden**2
+    np.matmul(looked.T, back, out=to.inner)
+    to.inner_bias[:] = back.sum(axis=0)
+    lanes = LANES[context].ravel()
+    to.embed[:] = np.bincount(lanes, weights=(back @ net.inner.T).ravel(), minlength=net.embed.size).reshape(net.embed.shape)
+    squares += to.flat * to.flat
+    net.flat -= np.float32(rate) * to.flat / np.sqrt(squares + squares.dtype.type(1e-6))
+
+
+def _slope(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The gradient of the mean loss by the logits, which it overwrites."""
+    slope, total = _exponentials(logits)
+    each = np.float32(1 / len(own))
+    slope *= (each / total)[:, None]
+    slope[at, own] -= each
+    return slope
 
 
 def fit(corpus: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarray:
@@ -212,20 +269,20 @@ def fit(corpus: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarr
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             net = Network(start.value.copy())
-            squares, rng = np.full(Network.SIZE, 0.01 * (turn + 1)), np.random.default_rng(turn)
+            squares = np.full(Network.SIZE, 0.01 * (turn + 1), dtype=np.float32)
             seen, held, size = 0, [], 0
             for batch in batches:
                 for key, value in zip(batch.column(0), batch.column(1)):
                     ids = np.frombuffer(value.as_py() or b"", dtype=np.uint8)
                     first = ((key.as_py() or 0) + turn) % every
                     if len(ids) > first:
-                        held.append((contexts(ids)[first::every], ids[first::every]))
+                        held.append((contexts(ids, first, every), ids[first::every]))
                         size += len(held[-1][1])
                     if size >= 16 * BATCH:
-                        seen += _train_held(net, held, squares, rng)
+                        seen += _train_held(net, held, squares)
                         held, size = [], 0
             if held:
-                seen += _train_held(net, held, squares, rng)
+                seen += _train_held(net, held, squares)
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(Network.SIZE)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(Network.SIZE, seen))], ["i", "w", "n"]
@@ -240,11 +297,11 @@ def fit(corpus: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarr
     return weights
 
 
-def _train_held(net: Network, held: list, squares: np.ndarray, rng: np.random.Generator) -> int:
+def _train_held(net: Network, held: list, squares: np.ndarray) -> int:
     context = np.concatenate([c for c, _ in held])
     target = np.concatenate([t for _, t in held]).astype(np.int64)
     for at in range(0, len(target), BATCH):
-        train_steps(net, context[at : at + BATCH], target[at : at + BATCH], squares, np.sort(rng.permutation(CLASSES)[:DRAWN]))
+        train_steps(net, context[at : at + BATCH], target[at : at + BATCH], squares)
     return len(target)
 
 
@@ -273,10 +330,10 @@ def score(corpus: DataFrame, weights: np.ndarray, sizes: np.ndarray) -> DataFram
 
             for i, ids in enumerate(docs):
                 around = contexts(ids)
-                for at in range(0, len(ids), 2 * BATCH):
-                    held.append((i, around[at : at + 2 * BATCH], ids[at : at + 2 * BATCH].astype(np.int64)))
+                for at in range(0, len(ids), SCORED):
+                    held.append((i, around[at : at + SCORED], ids[at : at + SCORED].astype(np.int64)))
                     size += len(held[-1][2])
-                    if size >= 2 * BATCH:
+                    if size >= SCORED:
                         flush()
                         size = 0
             flush()
@@ -305,7 +362,7 @@ def pseudo_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     into words piece by piece; their tokens, one byte each, are scored in blocks. An empty table gives an empty one. The weights depend slightly on how the
     rows are dealt to tasks.
     """
-    cut = written(split(docs, doc_id, text), "cut-texts")
+    cut = written(split(docs, doc_id, text), "cut-texts", "zstd")
     counts = written(word_counts(cut), "word-counts")
     words = vocabulary(counts)
     rest, sizes = shared_classes(counts, words)

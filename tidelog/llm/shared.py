@@ -48,7 +48,7 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it again.
 
     This cuts the lineage: a lost executor costs a reread of the table, not a recomputation of all
@@ -57,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
