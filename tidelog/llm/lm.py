@@ -38,10 +38,10 @@ SIDE = 2
 EMBEDDING, HIDDEN = 16, 32
 ROUNDS = 3
 EVERY = 3  # of each document's places, one of so many is used in a round
-BATCH = 512
+BATCH = 2048
+RATE = 0.2
 SCORED = 4096  # places whose likelihoods are computed at once
 PIECE = 1 << 20
-LANES = np.arange((CLASSES + 1) * EMBEDDING).reshape(CLASSES + 1, EMBEDDING)  # places of the embeddings among all weights
 
 
 def _pieces(text: str) -> Iterator[list[str]]:
@@ -160,11 +160,12 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each place's class: the logarithms of its group's probability and of its own within the group, added."""
-        order = np.argsort(target)
-        context, group, own = context[order], target[order] // IN_GROUP, target[order] % IN_GROUP
-        hidden = self.sides[0][context[:, 0]]
+        order = np.argsort(target.astype(np.uint8), kind="stable")
+        context, target = context.take(order, axis=0), target.take(order)
+        group, own = target // IN_GROUP, target % IN_GROUP
+        hidden = self.sides[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            hidden += self.sides[k][context[:, k]]
+            hidden += self.sides[k].take(context[:, k], axis=0)
         np.tanh(hidden, out=hidden)
         at = np.arange(len(order))
         top = hidden @ self.group + self.group_bias
@@ -173,9 +174,9 @@ class Network:
         found[order] = _log_of(top, at, group) + _log_of(inside, at, own)
         return found
 
-    def inside(self, hidden: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def inside(self, hidden: np.ndarray, group: np.ndarray, logits: np.ndarray | None = None) -> np.ndarray:
         """The logits within each place's group; places come in the order of their groups."""
-        logits = np.empty((len(group), IN_GROUP), dtype=np.float32)
+        logits = np.empty((len(group), IN_GROUP), dtype=np.float32) if logits is None else logits
         for g, first, after in _runs(group):
             np.matmul(hidden[first:after], self.outer[g], out=logits[first:after])
         logits += self.outer_bias[group]
@@ -188,6 +189,13 @@ class Network:
         self.slopes.flat.fill(0)
         return self.slopes
 
+    def buffers(self, n: int) -> list[np.ndarray]:
+        """Room for the steps of a batch of ``n`` places, the same one for all batches up to the largest so far."""
+        if len(getattr(self, "room", [()])[0]) < n:
+            self.room = [np.empty((n, width), dtype=np.float32) for width in (2 * SIDE * EMBEDDING, HIDDEN, HIDDEN, HIDDEN, IN_GROUP)]
+            self.step = np.empty(self.SIZE, dtype=np.float32)
+        return [x[:n] for x in self.room]
+
 
 def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
     """(group, first, after) of the groups that occur in a sorted array."""
@@ -221,35 +229,49 @@ def contexts(ids: np.ndarray, first: int = 0, every: int = 1) -> np.ndarray:
     return np.stack([wide[k + first : k + len(ids) : every] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def train_steps(net: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = 0.1) -> None:
-    """One Adagrad step on a batch of places along the exact gradient of both softmaxes."""
+def train_steps(net: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = RATE) -> None:
+    """One Adagrad step on a batch of places along the exact gradient of both softmaxes.
+
+    The large arrays are the network's own and written anew at every call; fresh ones would cost as much again.
+    """
     n = len(target)
-    order = np.argsort(target)
-    context, group, own = context[order], target[order] // IN_GROUP, target[order] % IN_GROUP
+    order = np.argsort(target.astype(np.uint8), kind="stable")
+    context, target = context.take(order, axis=0), target.take(order)
+    group, own = target // IN_GROUP, target % IN_GROUP
     at = np.arange(n)
-    looked = net.embed[context].reshape(n, -1)
-    hidden = np.tanh(looked @ net.inner + net.inner_bias)
     to = net.gradient()
+    looked, hidden, back, other, inside = net.buffers(n)
+    net.embed.take(context.ravel(), axis=0, out=looked.reshape(-1, EMBEDDING), mode="clip")
+    np.matmul(looked, net.inner, out=hidden)
+    hidden += net.inner_bias
+    np.tanh(hidden, out=hidden)
 
     top = _slope(hidden @ net.group + net.group_bias, at, group)
     np.matmul(hidden.T, top, out=to.group)
-    to.group_bias[:] = top.sum(axis=0)
-    back = top @ net.group.T
+    top.sum(axis=0, out=to.group_bias)
+    np.matmul(top, net.group.T, out=back)
 
-    inside = _slope(net.inside(hidden, group), at, own)
-    runs = _runs(group)
-    for g, first, after in runs:
+    _slope(net.inside(hidden, group, inside), at, own)
+    for g, first, after in _runs(group):
         np.matmul(hidden[first:after].T, inside[first:after], out=to.outer[g])
-        back[first:after] += inside[first:after] @ net.outer[g].T
-    to.outer_bias[[g for g, _, _ in runs]] = np.add.reduceat(inside, [first for _, first, _ in runs])
+        inside[first:after].sum(axis=0, out=to.outer_bias[g])
+        back[first:after] += np.matmul(inside[first:after], net.outer[g].T, out=other[first:after])
 
-    back *= 1 - hidden**2
+    np.multiply(hidden, hidden, out=hidden)
+    np.subtract(1, hidden, out=hidden)
+    back *= hidden
     np.matmul(looked.T, back, out=to.inner)
-    to.inner_bias[:] = back.sum(axis=0)
-    lanes = LANES[context].ravel()
-    to.embed[:] = np.bincount(lanes, weights=(back @ net.inner.T).ravel(), minlength=net.embed.size).reshape(net.embed.shape)
-    squares += to.flat * to.flat
-    net.flat -= np.float32(rate) * to.flat / np.sqrt(squares + squares.dtype.type(1e-6))
+    back.sum(axis=0, out=to.inner_bias)
+    at_words = np.matmul(net.inner, back.T, out=looked.reshape(-1, n)).reshape(2 * SIDE, EMBEDDING, n)
+    seen = context.T.ravel()
+    for k in range(EMBEDDING):
+        to.embed[:, k] = np.bincount(seen, weights=at_words[:, k].ravel(), minlength=CLASSES + 1)
+    np.multiply(to.flat, to.flat, out=net.step)
+    squares += net.step
+    np.sqrt(squares, out=net.step)
+    to.flat *= np.float32(rate)
+    to.flat /= net.step
+    net.flat -= to.flat
 
 
 def _slope(logits: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
