@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.rules import every_n
-from tidelog.operators import append, fold
+from tidelog.operators import append, fold, restore
 from tidelog.operators.upcast import Step, Upcaster
 from tidelog.plans import replay
 
@@ -71,3 +73,44 @@ def test_runs_are_validated_in_order(spark):
     assert first(good) == (True, None, None, None, None) and first([]) == (True, None, None, None, None)
     assert first([*good, (3, None, 2, 1), (2, 4, 5, 1), (2, 4, 7, 2), (2, 4, 9, 3)]) == (False, 2, "NonSequential", 6, 7)
     assert first([(5, most, most, 1)]) == (False, 5, "VersionOverflow", None, most)
+
+
+def test_hot_streams_in_blocks(spark, monkeypatch):
+    """One stream holds half of all events, over many blocks; triggers, guards, projections and plans as in plain Python."""
+    for module in (fold, append, restore):
+        monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(fold.highest_before, "__defaults__", (16,))
+    monkeypatch.setattr(fold.running_sum, "__defaults__", ("running", 16))
+    rng, events = random.Random(4), []
+    for stream, size in ((0, 400), *((s, 57) for s in range(1, 8))):
+        version = 0
+        for _ in range(size):
+            version += rng.choice((1, 1, 1, 40))  # gaps leave whole blocks empty
+            events.append((stream, version, rng.randint(-30, 33), rng.randint(0, 500)))
+    log = spark.createDataFrame(events, "stream_id long, version long, d long, position long").repartition(4)
+    of = {s: [e for e in events if e[0] == s] for s in range(8)}
+
+    due = {(s, b[1]) for s, own in of.items() for a, b in zip([(s, 0)] + own, own) if b[1] // 10 > a[1] // 10}
+    assert {(r.stream_id, r.version) for r in replay.trigger_points(log, 10).collect()} == due
+
+    told = replay.guard_positions(log.select(F.col("stream_id").alias("consumer"), F.col("version").alias("delivery"), "position"))
+    want = {(s, e[1]): "NonIncreasingPosition" if i and e[3] <= max(x[3] for x in own[:i]) else "Applied" for s, own in of.items() for i, e in enumerate(own)}
+    assert {(r.consumer, r.delivery): r.status for r in told.collect()} == want
+
+    states = {}
+    for s, own in of.items():
+        total, applied, failed = 0, 0, None
+        for e in own:
+            if not -120 <= total + e[2] <= 150:
+                failed = e[1]
+                break
+            total, applied = total + e[2], applied + 1
+        states[s] = (applied, failed, total)
+    assert {r.stream_id: (r.applied, r.failed_at, r.state) for r in replay.projected(log, F.col("d"), -120, 150).collect()} == states
+
+    blocks = [(s, b, b + s + (b >= 300)) for s, n in ((0, 400), (1, 90), (2, 1)) for b in range(1, n + 1)]
+    plan = restore.section_plan(spark.createDataFrame(blocks, "section long, block long, version long").withColumn("corrupt", F.expr("section = 1 and block = 50")))
+    assert {r.section: (r.events, r.halt, r.got) for r in plan.collect()} == {0: (299, "Gap", 301), 1: (49, "Corrupt", None), 2: (1, "Complete", None)}
+
+    runs = spark.createDataFrame([(s, v, v) for s, n in ((0, 400), (1, 60)) for v in range(1, n + 1) if (s, v) != (0, 222)], "stream_id long, version long, ordinal long")
+    assert {r.stream_id: (r.events, r.first_bad, r.error) for r in append.validate_sequence(runs).collect()} == {0: (399, 223, "Conflict"), 1: (60, None, None)}

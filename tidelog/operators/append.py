@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tidelog.functions.rules import append_outcome
+from tidelog.operators.fold import BLOCK, numbered
 from tidelog.sources.scratch import checkpointed
 
 MOST = (1 << 63) - 1
 
 
+def _placed(batch: DataFrame, key: str) -> DataFrame:
+    """Adds the place of every event in its run, counted in blocks of ordinals, so that one task never sorts a long run.
+
+    An ordinal is a whole number or a struct that begins with one.
+    """
+    kind = batch.schema["ordinal"].dataType
+    number = F.col(f"ordinal.{kind.names[0]}") if isinstance(kind, StructType) else F.col("ordinal")
+    return numbered(batch, key, ["ordinal"], F.floor(number / BLOCK), "_place")
+
+
 def validate_sequence(batch: DataFrame, expected: Column | None = None) -> DataFrame:
     """(stream_id, events, first_bad, error) for each stream's run in a batch (stream_id, version, ordinal).
 
@@ -19,9 +31,7 @@ def validate_sequence(batch: DataFrame, expected: Column | None = None) -> DataF
     stream. The first violation by order is reported; a version beyond the range is an overflow.
     """
     start = F.lit(0) if expected is None else F.coalesce(expected, F.lit(0))
-    order = Window.partitionBy("stream_id").orderBy("ordinal")
-    place = F.row_number().over(order).cast("long")
-    rows = batch.withColumn("_place", place).withColumn("_due", F.try_add(start.cast("long"), F.col("_place")))
+    rows = _placed(batch, "stream_id").withColumn("_due", F.try_add(start.cast("long"), F.col("_place")))
     bad = F.when(F.col("_due").isNull(), "VersionOverflow").when(F.col("version") != F.col("_due"), "Conflict")
     return (
         rows.withColumn("_bad", bad)
@@ -40,8 +50,7 @@ def validate_appends(batch: DataFrame, heads: DataFrame) -> DataFrame:
     The rules apply in this order: the expected version must be the head (null for a new stream), no version
     may go beyond the range, and versions must follow on the head one by one.
     """
-    order = Window.partitionBy("stream_id").orderBy("ordinal")
-    rows = batch.join(heads, "stream_id", "left").withColumn("_place", F.row_number().over(order).cast("long"))
+    rows = _placed(batch, "stream_id").join(heads, "stream_id", "left")
     due = F.try_add(F.coalesce("head", F.lit(0)).cast("long"), F.col("_place"))
     rows = rows.withColumn("_outcome", append_outcome(F.col("expected"), F.col("head"), F.col("version"), due))
     return rows.groupBy("stream_id").agg(
@@ -74,9 +83,8 @@ def validate_runs(batch: DataFrame) -> DataFrame:
     Every run starts behind its declared version ``expected``, null for a new stream, and goes on one by one. The
     first offence of the first offending run is reported: NonSequential, or VersionOverflow where no version is left.
     """
-    place = F.row_number().over(Window.partitionBy("run").orderBy("ordinal")).cast("long")
     due = F.try_add(F.coalesce("expected", F.lit(0)).cast("long"), F.col("_place"))
-    rows = batch.withColumn("_place", place).withColumn("due", due)
+    rows = _placed(batch, "run").withColumn("due", due)
     outcome = F.when(F.col("due").isNull(), "VersionOverflow").when(F.col("version") != F.col("due"), "NonSequential")
     bad = rows.withColumn("outcome", outcome).where("outcome is not null")
     first = bad.agg(F.min(F.struct("run", "_place", "outcome", "due", "version")).alias("s"))

@@ -47,6 +47,20 @@ def running_sum(log: DataFrame, value: Column, name: str = "running", block: int
     return summed.join(starts, ["stream_id", "_block"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_value", "_block", "_inside", "_start")
 
 
+def highest_before(rows: DataFrame, key: str, order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds the highest ``value`` of a key's rows that come before each one by the whole number ``order``; null for the first.
+
+    Like a running sum, it works in blocks whose maxima combine before the shuffle.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
+    tops = rows.groupBy(key, "_block").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tops.select(key, "_block", F.max("_top").over(earlier).alias("_start"))
+    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_inside", F.max(value).over(within))
+    return inside.join(starts, [key, "_block"]).withColumn(name, F.greatest("_start", "_inside")).drop("_block", "_inside", "_start")
+
+
 def sticky_balance(log: DataFrame, delta: Column) -> DataFrame:
     """(stream_id, head, poisoned_at, balance): the first version at which the balance would fall below zero
     latches the error for good; such a stream has no balance."""

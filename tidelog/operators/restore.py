@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidelog.operators.fold import BLOCK, numbered
 
 
 def section_plan(blocks: DataFrame) -> DataFrame:
@@ -13,8 +14,8 @@ def section_plan(blocks: DataFrame) -> DataFrame:
     A section's run is its longest gapless stretch from the first block on. It halts Complete at the end, at
     the first Corrupt block, or at a Gap, whose version is ``got``. Sections without blocks give no row.
     """
-    order = Window.partitionBy("section").orderBy("block")
-    rows = blocks.withColumns({"_n": F.row_number().over(order).cast("long"), "_first": F.first("version").over(order)})
+    rows = numbered(blocks, "section", ["block"], F.floor(F.col("block") / BLOCK), "_n")
+    rows = rows.join(blocks.groupBy("section").agg(F.min_by("version", "block").alias("_first")), "section")
     stop = F.when(F.col("corrupt"), "Corrupt").when(F.col("version") != F.col("_first") + F.col("_n") - 1, "Gap")
     rows = rows.withColumn("_stop", stop)
     at = F.when(F.col("_stop").isNotNull(), F.col("_n"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidelog.functions.rules import every_n, snapshot_status
+from tidelog.operators.fold import highest_before, running_sum
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def resumed_sum(log: DataFrame, snapshots: DataFrame, schema: int, value: Column
 
 def trigger_points(log: DataFrame, n: int) -> DataFrame:
     """Events at which a stream's snapshot is due when one is taken every ``n`` versions."""
-    before = F.lag("version").over(Window.partitionBy("stream_id").orderBy("version"))
-    return log.withColumn("_before", before).where(every_n(F.col("_before"), F.col("version"), n)).drop("_before")
+    rows = highest_before(log, "stream_id", "version", "version", "_before")
+    return rows.where(every_n(F.col("_before"), F.col("version"), n)).drop("_before")
 
 
 def guard_positions(deliveries: DataFrame) -> DataFrame:
@@ -58,19 +58,17 @@ def guard_positions(deliveries: DataFrame) -> DataFrame:
 
     Such a delivery is refused and changes nothing, so the position to beat is the highest one so far.
     """
-    order = Window.partitionBy("consumer").orderBy("delivery").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max("position").over(order)
-    return deliveries.withColumn("status", F.when(F.col("position") <= seen, "NonIncreasingPosition").otherwise("Applied"))
+    rows = highest_before(deliveries, "consumer", "delivery", "position", "_seen")
+    return rows.withColumn("status", F.when(F.col("position") <= F.col("_seen"), "NonIncreasingPosition").otherwise("Applied")).drop("_seen")
 
 
 def projected(log: DataFrame, value: Column, floor: int, ceiling: int) -> DataFrame:
     """(stream_id, applied, failed_at, state): a checked running sum that fails at the first event which
     takes it out of floor..ceiling; the state is the last good one and later events are not applied."""
-    order = Window.partitionBy("stream_id").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("_sum", F.sum(value).over(order))
-    rows = rows.withColumn("_failed", F.min(F.when(~F.col("_sum").between(floor, ceiling), F.col("version"))).over(order))
-    good = F.col("_failed").isNull()
-    return rows.groupBy("stream_id").agg(
+    rows = running_sum(log, value, "_sum")
+    failed = rows.where(~F.col("_sum").between(floor, ceiling)).groupBy("stream_id").agg(F.min("version").alias("_failed"))
+    good = F.col("_failed").isNull() | (F.col("version") < F.col("_failed"))
+    return rows.join(failed, "stream_id", "left").groupBy("stream_id").agg(
         F.count_if(good).alias("applied"),
         F.min("_failed").alias("failed_at"),
         F.coalesce(F.max_by("_sum", F.when(good, F.col("version"))), F.lit(0)).alias("state"),

@@ -471,10 +471,10 @@ def saga_correlate(spark, sf_dir):
 sum(case when event_type = 'signup' then 1 else 0 end) over (partition by k order by position) as placed from u where event_type in ('signup', 'purchase') and k is not null)
 select saga_id, position, case when event_type = 'signup' then 'PaymentRequested' when placed > 0 then 'OrderCompleted' end as reaction from r""")
 def saga_react(spark, sf_dir):
-    order = Window.partitionBy("saga_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _routed(spark, sf_dir).withColumn("placed", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(order))
+    events = _routed(spark, sf_dir).select(F.col("saga_id").alias("stream_id"), F.col("position").alias("version"), "event_type")
+    rows = fold.running_sum(events, F.when(F.col("event_type") == "signup", 1).otherwise(0), "placed")
     reaction = F.when(F.col("event_type") == "signup", "PaymentRequested").when(F.col("placed") > 0, "OrderCompleted")
-    return rows.select("saga_id", "position", reaction.alias("reaction"))
+    return rows.select(F.col("stream_id").alias("saga_id"), F.col("version").alias("position"), reaction.alias("reaction"))
 
 
 @query(f"""with {SAGA}, r as (select k as saga_id, position, event_type from u where event_type in ('signup', 'purchase') and k is not null),
@@ -505,8 +505,7 @@ def saga_react_and_save(spark, sf_dir):
 @query(f"""with {SAGA}, r as (select k as saga_id, event_type, cast(row_number() over (partition by k order by position) as bigint) as version from u where event_type in ('signup', 'purchase') and k is not null)
 select saga_id, version, 'TakePayment' as intent from r where event_type = 'signup'""")
 def saga_intents(spark, sf_dir):
-    order = Window.partitionBy("saga_id").orderBy("position")
-    rows = _routed(spark, sf_dir).withColumn("version", F.row_number().over(order).cast("long"))
+    rows = fold.numbered(_routed(spark, sf_dir), "saga_id", ["position"], F.floor(F.col("position") / fold.BLOCK))
     return decide.intents(rows, F.when(F.col("event_type") == "signup", "TakePayment")).select("saga_id", "version", "intent")
 
 
